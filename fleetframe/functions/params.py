@@ -88,13 +88,12 @@ def attempts_allowed(target: Column) -> Column:
     return F.when(target.contains("RECO") | target.contains("DIGI"), F.lit(3)).otherwise(F.lit(1))
 
 
-def parameter_grid(spark, **axes: list) -> DataFrame:
-    """One row per combination of the listed parameter values.
+def parameter_grid(base: DataFrame, **axes: list) -> DataFrame:
+    """Each row of the base table with every combination of the listed parameter values.
 
     The axes are arguments of the call. Each is unfolded in place from an array literal, so the
-    grid is a chain of generators over one row and no join.
+    grid is a chain of generators and no join.
     """
-    grid = spark.range(1).select()
     for name, values in axes.items():
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
-    return grid
+        base = base.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return base

@@ -151,17 +151,10 @@ def last_so_far(
     """Add the latest non-null `value` of the key up to and including the row."""
     cut = _Ranges(df, keys, order, ranges)
     place = F.when(F.col(value).isNotNull(), F.struct(*cut.order))
-    latest = cut.summaries(F.max_by(F.col(value), place)).filter(F.col(_VALUE).isNotNull())
-    # A range without any value still has to hear of the latest one before it.
-    spots = cut.rows.select(*cut.keys, _RANGE).distinct()
-    known = spots.withColumn(_VALUE, F.lit(None).cast(latest.schema[_VALUE].dataType))
-    known = (
-        known.unionByName(latest)
-        .groupBy(*cut.keys, _RANGE)
-        .agg(F.any_value(_VALUE, ignoreNulls=True).alias(_VALUE))
-    )
+    # max_by is null for a range without a value, and the window looks past it.
+    latest = cut.summaries(F.max_by(F.col(value), place))
     earlier = cut.over_ranges().rowsBetween(Window.unboundedPreceding, -1)
-    edges = known.withColumn(_VALUE, F.last(_VALUE, ignorenulls=True).over(earlier))
+    edges = latest.withColumn(_VALUE, F.last(_VALUE, ignorenulls=True).over(earlier))
     both = cut.with_edges(F.col(value), edges.filter(F.col(_VALUE).isNotNull()))
     window = cut.inside(edge_first=True).rowsBetween(Window.unboundedPreceding, 0)
     return cut.finish(both.withColumn(out, F.last(_VALUE, ignorenulls=True).over(window)), out)
