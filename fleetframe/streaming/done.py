@@ -13,38 +13,55 @@ from fleetframe.functions.status import ACTIVE_STATUSES
 from fleetframe.operators.ledger import JOB, clusters_done
 
 CHANGE = "cluster_id bigint, jobs int, active int, lost int"
+COLUMNS = ["cluster_id", "jobs", "active", "lost"]
 JOB_STATE = "status int, micros bigint, event_id bigint"
 
 
-def _write_batches(df: DataFrame, path: str, checkpoint: str, mode: str, **trigger):
-    """Each micro-batch into a folder of its own; a repeated batch replaces its folder."""
+LATEST = "cluster_id bigint, proc_id int, status int, ts timestamp, event_id bigint"
+
+
+def track_latest(events: DataFrame, path: str, checkpoint: str, **trigger):
+    """Write the latest event per job of each micro-batch, a folder per batch.
+
+    A repeated batch replaces its folder. Nothing is kept between batches, so there is no state
+    to grow; partial aggregates are formed before the shuffle, so a cluster or job of any size
+    leaves one row per job and task.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        event = F.struct("status", "ts", "event_id")
+        latest = batch.groupBy(*JOB).agg(F.max_by(event, F.struct("ts", "event_id")).alias("_e"))
+        folder = f"{path}/batch={batch_id}"
+        latest.select(*JOB, "_e.*").write.mode("overwrite").parquet(folder)
 
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    writer = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).foreachBatch(write).start()
 
 
-def track_latest(events: DataFrame, path: str, checkpoint: str, **trigger):
-    """Keep the latest status per job; write the jobs that changed in each micro-batch.
+def done_from_latest(
+    spark: SparkSession, path: str, give_up_after: float | None = None
+) -> DataFrame:
+    """Per-cluster answer from the tracked jobs; the latest event of a job counts.
 
-    The state is one row per job and partial aggregates are formed before the shuffle, so a
-    cluster of any size spreads over all tasks.
+    With `give_up_after`, an active job that has been silent for more seconds than that, by the
+    newest event seen, is no longer waited for.
     """
-    latest = events.groupBy(*JOB).agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
-    return _write_batches(latest, path, checkpoint, "update", **trigger)
-
-
-def done_from_latest(spark: SparkSession, path: str) -> DataFrame:
-    """Per-cluster answer from the tracked jobs: the last batch of a job counts."""
-    changed = spark.read.schema("cluster_id bigint, proc_id int, status int, batch long").parquet(
-        path
+    tracked = spark.read.schema(LATEST).parquet(path)
+    latest = tracked.groupBy(*JOB).agg(
+        F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts")
     )
-    latest = changed.groupBy(*JOB).agg(F.max_by("status", "batch").alias("status"))
+    if give_up_after is not None:
+        newest = tracked.agg(F.max(F.unix_micros("ts"))).scalar()
+        silent = (newest - F.unix_micros("ts")) / 1e6 > give_up_after
+        latest = latest.withColumn("status", F.when(silent, F.lit(None)).otherwise(F.col("status")))
     return clusters_done(latest)
 
 
+def stream_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The written latest events as a stream: one row per job and batch, however hot the job."""
+    return spark.readStream.schema(LATEST).parquet(f"{path}/batch=*")
+
+
 def _job_change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
     """What the new events of one job change in the counts of its cluster."""
     cluster_id = key[0]
@@ -52,7 +69,7 @@ def _job_change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
         active = state.get[0] in ACTIVE_STATUSES
         state.remove()
         if active:
-            yield pd.DataFrame([(cluster_id, -1, -1, 1)], columns=["cluster_id", "jobs", "active", "lost"])
+            yield pd.DataFrame([(cluster_id, -1, -1, 1)], columns=COLUMNS)
         return
     old = state.get if state.exists else None
     best = old
@@ -66,9 +83,7 @@ def _job_change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
     was = old is not None and old[0] in ACTIVE_STATUSES
     active = int(best[0] in ACTIVE_STATUSES) - int(was)
     if jobs or active:
-        yield pd.DataFrame(
-            [(cluster_id, jobs, active, 0)], columns=["cluster_id", "jobs", "active", "lost"]
-        )
+        yield pd.DataFrame([(cluster_id, jobs, active, 0)], columns=COLUMNS)
 
 
 def track_changes(
@@ -80,7 +95,9 @@ def track_changes(
 ):
     """Write, per micro-batch and cluster, how the numbers of jobs and active jobs change.
 
-    The state is kept per job, not per cluster. A job that stays silent for `give_up_after`
+    `events` is the stream of `stream_latest`, so that the Python side sees one row per job and
+    batch. The state is kept per job, not per cluster, and an event seen twice changes nothing.
+    A job that stays silent for `give_up_after`
     seconds leaves the state; if it was active it is counted as lost and no longer waited for.
     The time has to exceed the longest pause of a job, or its return counts as a new job.
     """
