@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.operators.ordered import index_and_count, index_within, last_so_far, sum_before
-from fleetframe.session import shuffle_partitions
+from fleetframe.session import shuffle_partitions, work_dir
 
 SLOT_BLOCK = 65536
 
@@ -161,7 +161,11 @@ def assign_clusters(
         F.lit(1).alias("_kind"),
         F.struct(*[c for c in entries.columns if c != submission]).alias("_entry"),
     )
+    # Written once: the steps below read it several times, and its positions are window results.
+    path = work_dir(entries.sparkSession, "laid")
     both = rows.unionByName(runs, allowMissingColumns=True)
+    both.write.parquet(path)
+    both = entries.sparkSession.read.schema(both.schema).parquet(path)
     known = last_so_far(both, [submission], ["_start", "_kind", "_order"], "_run", "_at")
     inside = F.col("_start") < F.col("_at.high")
     end = F.col("_start") + F.col("_entry.njobs")
@@ -177,7 +181,9 @@ def assign_clusters(
         )
     )
     loose = found.withColumn("_loose", F.when(F.col("nested"), 0).otherwise(1))
-    counted = sum_before(loose, [submission], order, "_loose", "_loose_before")
+    counted = sum_before(
+        loose, [submission], order, "_loose", "_loose_before", profile=entries
+    )
     return counted.withColumn("drifted", F.col("_loose") + F.col("_loose_before") > 0).drop(
         "_loose", "_loose_before"
     )

@@ -69,20 +69,17 @@ def first_available(
 ) -> DataFrame:
     """Add the path in the first location, by priority, that holds the file; null if none does.
 
-    The listing is reduced to one row per file before the wanted rows meet it.
+    Priorities are unique. The listing is reduced to the best priority per file before the wanted
+    rows meet it, and the path is put together again from the location.
     """
     path = F.col("path")
+    base = F.substring_index(path, "/", -1)
     files = listing.select(
-        F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"),
-        F.regexp_extract(path, r"([^/]*)$", 1).alias(name),
-        path,
+        base.alias(name), F.left(path, F.length(path) - F.length(base) - 1).alias("dir")
     )
-    best = (
-        files.join(locations, "dir")
-        .groupBy(name)
-        .agg(F.min_by("path", "priority").alias("path"), F.min("priority").alias("priority"))
-    )
-    return wanted.join(best, name, "left")
+    best = files.join(locations, "dir").groupBy(name).agg(F.min("priority").alias("priority"))
+    found = wanted.join(best, name, "left").join(locations, "priority", "left")
+    return found.withColumn("path", F.concat("dir", F.lit("/"), name)).drop("dir")
 
 
 def missing(expected: DataFrame, listing: DataFrame, on: str | list[str] = "path") -> DataFrame:

@@ -25,8 +25,9 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_manifests(documents: DataFrame, text: str = "text") -> DataFrame:
     """One row per manifest: submission_timestamp, njobsmax, cli, submitted (variant)."""
-    doc = F.parse_json(text)
-    return documents.select(
+    doc = F.col("_doc")
+    # A projection of its own, so that each document is parsed once.
+    return documents.withColumn("_doc", F.parse_json(text)).select(
         *[c for c in documents.columns if c != text],
         F.try_variant_get(doc, "$.submission_timestamp", "string").alias("submission_timestamp"),
         F.try_variant_get(doc, "$.njobsmax", "bigint").alias("njobsmax"),
@@ -40,10 +41,12 @@ def manifest_entries(manifests: DataFrame) -> DataFrame:
 
     An entry is [settings, cluster_id, njobs, proc_ids]; the cluster id may be number or text.
     """
+    # The outer form and the filter behind it keep the planner from parsing the documents a
+    # second time just to test for empty arrays.
     rows = manifests.select(
         *[c for c in manifests.columns if c != "submitted"],
-        F.posexplode("submitted").alias("entry_no", "_e"),
-    )
+        F.posexplode_outer("submitted").alias("entry_no", "_e"),
+    ).filter(F.col("entry_no").isNotNull())
     e = F.col("_e")
     settings = F.variant_get(e, "$[0]", "map<string,variant>")
     plain = F.map_filter(settings, lambda key, _: key != "environment")

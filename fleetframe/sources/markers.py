@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MARKER = r"([^/_]+)_([^/]*)_(\d+)_(\d+)\.txt$"
-KINDS = ("out", "err", "log", "exitcode")
+MARKER = r"^(out|err|log|exitcode)_.*_\d+_\d+\.txt$"
 
 
 def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -20,29 +19,30 @@ def parse_marker_names(listing: DataFrame, path: str = "path") -> DataFrame:
 
     The name may hold underscores of its own.
     """
-    base = F.regexp_extract(F.col(path), r"([^/]*)$", 1)
-    parsed = listing.withColumns(
+    base = F.substring_index(F.col(path), "/", -1)
+    ids = F.substring_index(base, "_", -2)
+    kind = F.substring_index(base, "_", 1)
+    # What lies between the kind and the two ids, without the underscores around it.
+    name = F.substring(
+        base, F.length(kind) + 2, F.length(base) - F.length(kind) - F.length(ids) - 2
+    )
+    return listing.filter(base.rlike(MARKER)).withColumns(
         {
-            "kind": F.regexp_extract(base, "^" + MARKER, 1),
-            "name": F.regexp_extract(base, "^" + MARKER, 2),
-            "cluster_id": F.regexp_extract(base, "^" + MARKER, 3).try_cast("bigint"),
-            "proc_id": F.regexp_extract(base, "^" + MARKER, 4).try_cast("int"),
+            "kind": kind,
+            "name": name,
+            "cluster_id": F.substring_index(ids, "_", 1).try_cast("bigint"),
+            "proc_id": F.substring_index(F.substring_index(ids, "_", -1), ".", 1).try_cast("int"),
         }
     )
-    return parsed.filter(F.col("kind").isin(*KINDS) & F.col("proc_id").isNotNull())
 
 
 def read_markers(spark: SparkSession, folder: str) -> DataFrame:
     """Marker table of a run directory. Only exit records are opened."""
     named = parse_marker_names(list_files(spark, folder, "{out,err,log}_*.txt"))
-    codes = parse_marker_names(
-        spark.read.option("pathGlobFilter", "exitcode_*.txt")
-        .text(folder, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.regexp_replace("value", r"\s+", "").try_cast("int").alias("exitcode"),
-        )
-    )
+    # As binary files, so that an empty exit record is a row too.
+    records = spark.read.format("binaryFile").option("pathGlobFilter", "exitcode_*.txt").load(folder)
+    code = F.regexp_replace(F.decode("content", "UTF-8"), r"\s+", "")
+    codes = parse_marker_names(records.select("path", code.try_cast("int").alias("exitcode")))
     columns = ["kind", "name", "cluster_id", "proc_id", "exitcode"]
     return named.withColumn("exitcode", F.lit(None).cast("int")).select(*columns).unionByName(
         codes.select(*columns)

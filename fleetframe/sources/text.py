@@ -14,8 +14,8 @@ def parse_queue(lines: DataFrame, line: str = "value") -> DataFrame:
 
     Word 0 is cluster.proc, word 1 the user, word 5 the status letter, the last the script.
     """
-    words = F.split(strip(F.col(line)), r"(?U)\s+")
-    rows = lines.select(words.alias("_w")).filter(F.get("_w", 0).rlike(r"^\d+\.\d+"))
+    jobs = lines.filter(F.col(line).rlike(r"^\s*\d+\.\d+"))
+    rows = jobs.select(F.split(strip(F.col(line)), r"\s+").alias("_w"))
     job = F.split(F.get("_w", 0), r"\.")
     return rows.select(
         F.get(job, 0).try_cast("bigint").alias("cluster_id"),
