@@ -2,16 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetframe.functions.text import matches_any
+
+LISTED = "path string, length bigint"
+LISTING_BATCH = 10000
 MARKER = r"^(out|err|log|exitcode)_.*_\d+_\d+\.txt$"
 
 
-def list_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
-    """(path, length) of files; their content is not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return files.select("path", "length")
+def _scan_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder in batch["folder"]:
+            if "://" in folder:
+                system, root = fs.FileSystem.from_uri(folder)
+            else:
+                system, root = fs.LocalFileSystem(), folder
+            found = system.get_file_info(fs.FileSelector(root))
+            files = [(f"{folder}/{i.base_name}", i.size) for i in found if i.is_file]
+            for start in range(0, len(files), LISTING_BATCH):
+                part = files[start : start + LISTING_BATCH]
+                yield pd.DataFrame(part, columns=["path", "length"])
+
+
+def list_files(
+    spark: SparkSession, folders: str | list[str], glob: str | list[str] = "*"
+) -> DataFrame:
+    """(path, length) of the files in some folders; their content is not read.
+
+    Empty files count, which Spark's own file sources leave out: an empty error file or exit
+    record says something about its job. Each folder is listed by a task of its own.
+    """
+    named = [folders] if isinstance(folders, str) else list(folders)
+    paths = [(f.removeprefix("file://").rstrip("/"),) for f in named]
+    table = spark.createDataFrame(paths, "folder string").repartition(len(paths), "folder")
+    base = F.substring_index(F.col("path"), "/", -1)
+    globs = [glob] if isinstance(glob, str) else list(glob)
+    return table.mapInPandas(_scan_folders, LISTED).filter(matches_any(base, globs))
 
 
 def parse_marker_names(listing: DataFrame, path: str = "path") -> DataFrame:
@@ -36,19 +69,24 @@ def parse_marker_names(listing: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
-def read_markers(spark: SparkSession, folder: str) -> DataFrame:
-    """Marker table of a run directory. Only exit records are opened."""
-    named = parse_marker_names(list_files(spark, folder, "{out,err,log}_*.txt"))
-    # As binary files, so that an empty exit record is a row too.
-    records = spark.read.format("binaryFile").option("pathGlobFilter", "exitcode_*.txt").load(folder)
-    code = F.regexp_replace(F.decode("content", "UTF-8"), r"\s+", "")
-    codes = parse_marker_names(records.select("path", code.try_cast("int").alias("exitcode")))
+def read_markers(spark: SparkSession, folders: str | list[str]) -> DataFrame:
+    """Marker table of run directories. Only exit records are opened."""
     columns = ["kind", "name", "cluster_id", "proc_id", "exitcode"]
-    return named.withColumn("exitcode", F.lit(None).cast("int")).select(*columns).unionByName(
-        codes.select(*columns)
+    listed = parse_marker_names(list_files(spark, folders))
+    closed = listed.filter((F.col("kind") != "exitcode") | (F.col("length") == 0))
+    records = spark.read.option("pathGlobFilter", "exitcode_*.txt").text(folders, wholetext=True)
+    code = F.regexp_replace("value", r"\s+", "").try_cast("int")
+    opened = parse_marker_names(
+        records.select(F.col("_metadata.file_path").alias("path"), code.alias("exitcode"))
+    )
+    no_code = F.lit(None).cast("int")
+    return closed.withColumn("exitcode", no_code).select(*columns).unionByName(
+        opened.select(*columns)
     )
 
 
-def file_params(spark: SparkSession, folder: str, glob: str, out: str = "file") -> DataFrame:
+def file_params(
+    spark: SparkSession, folders: str | list[str], glob: str | list[str], out: str = "file"
+) -> DataFrame:
     """One parameter row per data file."""
-    return list_files(spark, folder, glob).select(F.col("path").alias(out))
+    return list_files(spark, folders, glob).select(F.col("path").alias(out))
