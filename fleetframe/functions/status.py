@@ -50,24 +50,35 @@ def status_name(code: Column) -> Column:
     return F.when(code.isNotNull(), F.coalesce(_lookup(STATUS_NAMES, code), F.lit("Unknown")))
 
 
+def _flag_tests(status: Column, has_log: Column, has_out: Column, exitcode: Column) -> list:
+    """(flag, test) pairs in the order in which a job lists its flags."""
+    log, out = F.coalesce(has_log, F.lit(False)), F.coalesce(has_out, F.lit(False))
+    return [
+        (IN_QUEUE, status.isNotNull()),
+        (QUEUE_ERROR, status.isin(*ERROR_STATUSES)),
+        (GOT_SUBMITTED, log),
+        (NOT_STARTED, ~log),
+        (EXITED, out),
+        (GOOD_EXIT, exitcode == 0),
+        (BAD_EXIT, exitcode != 0),
+        (NO_EXIT, exitcode.isNull()),
+    ]
+
+
 def job_flags(status: Column, has_log: Column, has_out: Column, exitcode: Column) -> Column:
     """Flags of one job in their fixed order.
 
     `status` is null when the job is not queued, `exitcode` is null when no readable exit
-    record exists. The three evidence columns may be null, which means absent.
+    record exists. The two evidence columns may be null, which means absent.
     """
-    log = F.coalesce(has_log, F.lit(False))
-    out = F.coalesce(has_out, F.lit(False))
-    cells = [
-        F.when(status.isNotNull(), F.lit(IN_QUEUE)),
-        F.when(status.isin(*ERROR_STATUSES), F.lit(QUEUE_ERROR)),
-        F.when(log, F.lit(GOT_SUBMITTED)).otherwise(F.lit(NOT_STARTED)),
-        F.when(out, F.lit(EXITED)),
-        F.when(exitcode.isNull(), F.lit(NO_EXIT))
-        .when(exitcode == 0, F.lit(GOOD_EXIT))
-        .otherwise(F.lit(BAD_EXIT)),
-    ]
-    return F.array_compact(F.array(*cells))
+    tests = _flag_tests(status, has_log, has_out, exitcode)
+    return F.array_compact(F.array(*[F.when(test, F.lit(flag)) for flag, test in tests]))
+
+
+def evidence_names(status: Column, has_log: Column, has_out: Column, exitcode: Column) -> Column:
+    """`flag_names` of `job_flags` without the array in between."""
+    tests = _flag_tests(status, has_log, has_out, exitcode)
+    return F.concat_ws(",", *[F.when(test, F.lit(FLAG_NAMES[flag])) for flag, test in tests])
 
 
 def flag_names(flags: Column) -> Column:
@@ -91,15 +102,34 @@ def is_success(flags: Column) -> Column:
     return F.array_contains(flags, GOOD_EXIT)
 
 
-def outcome(flags: Column, status: Column) -> Column:
-    """Class a job counts under: good before failed before running."""
+def verdicts(status: Column, exitcode: Column) -> dict[str, Column]:
+    """`is_running`, `is_failed`, `is_success` and `outcome` from the evidence itself.
+
+    The same answers as over `job_flags`, but plain comparisons that stay in generated code.
+    """
+    in_error = F.coalesce(status.isin(*ERROR_STATUSES), F.lit(False))
+    running = status.isNotNull() & ~in_error
+    success = F.coalesce(exitcode == 0, F.lit(False))
+    failed = ~running & (in_error | ~success)
+    return {
+        "running": running,
+        "failed": failed,
+        "success": success,
+        "outcome": _outcome(success, failed),
+    }
+
+
+def _outcome(success: Column, failed: Column) -> Column:
     return (
-        F.when(is_success(flags), F.lit("good"))
-        .when(is_failed(flags, status), F.lit("failed"))
-        .otherwise(F.lit("running"))
+        F.when(success, F.lit("good")).when(failed, F.lit("failed")).otherwise(F.lit("running"))
     )
 
 
+def outcome(flags: Column, status: Column) -> Column:
+    """Class a job counts under: good before failed before running."""
+    return _outcome(is_success(flags), is_failed(flags, status))
+
+
 def effective_proc_id(resubmitted: Column, recorded: Column) -> Column:
     """The proc id a job works under: that of the job it replaces, else its own, else 0."""
     return F.coalesce(resubmitted, recorded, F.lit(0))

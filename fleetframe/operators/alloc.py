@@ -180,10 +180,11 @@ def assign_clusters(
             F.coalesce(end <= F.col("_hit.high"), F.lit(False)).alias("nested"),
         )
     )
-    loose = found.withColumn("_loose", F.when(F.col("nested"), 0).otherwise(1))
-    counted = sum_before(
-        loose, [submission], order, "_loose", "_loose_before", profile=entries
-    )
-    return counted.withColumn("drifted", F.col("_loose") + F.col("_loose_before") > 0).drop(
-        "_loose", "_loose_before"
+    path = work_dir(entries.sparkSession, "assigned")
+    found.write.parquet(path)
+    found = entries.sparkSession.read.schema(found.schema).parquet(path)
+    first_loose = found.groupBy(submission).agg(
+        F.min(F.when(~F.col("nested"), F.col(order))).alias("_loose")
     )
+    drifted = F.coalesce(F.col(order) >= F.col("_loose"), F.lit(False))
+    return found.join(first_loose, submission, "left").withColumn("drifted", drifted).drop("_loose")

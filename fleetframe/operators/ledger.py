@@ -71,19 +71,14 @@ def job_status(expected: DataFrame, queue: DataFrame, markers: DataFrame) -> Dat
     queued = queue.groupBy(*JOB).agg(F.min("status").alias("status"))
     evidence = marker_evidence(markers)
     jobs = expected.join(queued, JOB, "left").join(evidence, [*JOB, "name"], "left")
-    flagged = jobs.withColumn(
-        "flags",
-        S.job_flags(F.col("status"), F.col("has_log"), F.col("has_out"), F.col("exitcode")),
-    )
-    flags, code = F.col("flags"), F.col("status")
-    return flagged.withColumns(
+    code = F.col("status")
+    evidence_of_job = (code, F.col("has_log"), F.col("has_out"), F.col("exitcode"))
+    return jobs.withColumns(
         {
+            "flags": S.job_flags(*evidence_of_job),
             "status_name": S.status_name(code),
-            "flag_names": S.flag_names(flags),
-            "running": S.is_running(flags, code),
-            "failed": S.is_failed(flags, code),
-            "success": S.is_success(flags),
-            "outcome": S.outcome(flags, code),
+            "flag_names": S.evidence_names(*evidence_of_job),
+            **S.verdicts(code, F.col("exitcode")),
         }
     ).drop("has_log", "has_out", "has_err")
 

@@ -65,21 +65,25 @@ def resolve_by_prefix(
 
 
 def first_available(
-    wanted: DataFrame, locations: DataFrame, listing: DataFrame, name: str = "name"
+    wanted: DataFrame, locations: list[str], listing: DataFrame, name: str = "name"
 ) -> DataFrame:
-    """Add the path in the first location, by priority, that holds the file; null if none does.
+    """Add the path in the first of the locations that holds the file; null if none does.
 
-    Priorities are unique. The listing is reduced to the best priority per file before the wanted
-    rows meet it, and the path is put together again from the location.
+    The locations are folders in order of priority, arguments of the call: a file finds its
+    priority in a literal map and joins with nothing. The listing is reduced to the best
+    priority per file before the wanted rows meet it.
     """
     path = F.col("path")
     base = F.substring_index(path, "/", -1)
+    folder = F.left(path, F.length(path) - F.length(base) - 1)
+    ranks = F.create_map(*[F.lit(x) for i, place in enumerate(locations) for x in (place, i)])
     files = listing.select(
-        base.alias(name), F.left(path, F.length(path) - F.length(base) - 1).alias("dir")
-    )
-    best = files.join(locations, "dir").groupBy(name).agg(F.min("priority").alias("priority"))
-    found = wanted.join(best, name, "left").join(locations, "priority", "left")
-    return found.withColumn("path", F.concat("dir", F.lit("/"), name)).drop("dir")
+        base.alias(name), F.try_element_at(ranks, folder).alias("priority")
+    ).filter(F.col("priority").isNotNull())
+    best = files.groupBy(name).agg(F.min("priority").alias("priority"))
+    places = F.array(*[F.lit(place) for place in locations])
+    found = F.concat(F.get(places, F.col("priority")), F.lit("/"), F.col(name))
+    return wanted.join(best, name, "left").withColumn("path", found)
 
 
 def missing(expected: DataFrame, listing: DataFrame, on: str | list[str] = "path") -> DataFrame:

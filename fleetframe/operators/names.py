@@ -83,10 +83,6 @@ def unique_names(
     bases = counts.filter(F.col("_n") > 1).select(F.col("name").alias("base"))
     literal = _read(counts.select("name"), separator).join(bases, "base", "left_semi")
 
-    first = indexed.filter(F.col("_j") == 0).drop("_j").withColumn(out, F.col(name))
-    repeats = indexed.filter(F.col("_j") > 0).withColumns(
-        {"base": F.col(name), "_j": F.col("_j") - 1}
-    )
     # Only without a separator can two bases lead to the same numbered name.
     rivals = None
     if not separator:
@@ -100,19 +96,30 @@ def unique_names(
         if rivals.isEmpty():
             rivals = None
 
+    def named(number: Column) -> Column:
+        made = F.concat(F.col(name), F.lit(separator), number.cast("string"))
+        if limit is None:
+            return made
+        spent = F.raise_error(F.concat(F.lit("no free number for "), F.col(name)))
+        return F.when(number < limit, made).otherwise(spent)
+
+    if rivals is None and literal.isEmpty():
+        numbered = F.when(F.col("_j") == 0, F.col(name)).otherwise(named(F.col("_j") - 1))
+        return indexed.withColumn(out, numbered).drop("_j")
+
+    # The numbering below reads the rows several times, so they are written once.
+    path = work_dir(spark, "names")
+    indexed.write.parquet(path)
+    indexed = spark.read.schema(indexed.schema).parquet(path)
+    first = indexed.filter(F.col("_j") == 0).drop("_j").withColumn(out, F.col(name))
+    repeats = indexed.filter(F.col("_j") > 0).withColumns(
+        {"base": F.col(name), "_j": F.col("_j") - 1}
+    )
     if rivals is None:
-        plain = repeats.withColumn("k", F.col("_j"))
-        numbered = plain if literal.isEmpty() else _numbered(repeats, literal)
+        later = _numbered(repeats, literal)
     else:
-        numbered = _settle(spark, repeats, literal, rivals)
-
-    made = F.concat(F.col("base"), F.lit(separator), F.col("k").cast("string"))
-    if limit is not None:
-        made = F.when(F.col("k") < limit, made).otherwise(
-            F.raise_error(F.concat(F.lit("no free number for "), F.col("base")))
-        )
-    later = numbered.withColumn(out, made).drop("base", "_j", "k")
-    return first.unionByName(later)
+        later = _settle(spark, repeats, literal, rivals)
+    return first.unionByName(later.withColumn(out, named(F.col("k"))).drop("base", "_j", "k"))
 
 
 def _settle(spark, repeats: DataFrame, literal: DataFrame, rivals: DataFrame) -> DataFrame:

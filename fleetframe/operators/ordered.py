@@ -26,6 +26,8 @@ from fleetframe.session import shuffle_partitions
 
 _RANGE, _VALUE, _EDGE, _ALL = "_ff_range", "_ff_value", "_ff_edge", "_ff_all"
 MAX_RANGES = 65536
+SKETCH_GROUPS = 256
+SKETCH_POINTS = 2048
 
 
 def _position(df: DataFrame, column: str) -> Column:
@@ -41,17 +43,32 @@ def _position(df: DataFrame, column: str) -> Column:
 
 
 def _quantiles(df: DataFrame, column: str, ranges: int | None) -> tuple[int, list]:
-    """Row count and the inner range bounds: one scan of one column, at most MAX_RANGES values."""
+    """Row count and the inner range bounds: one scan of one column, at most MAX_RANGES values.
+
+    Every task sketches its rows, SKETCH_GROUPS reducers each merge the sketches of some tasks
+    into SKETCH_POINTS quantiles, and the last step weighs those points only. So no task sees
+    more than a fraction of the sketches, however many tasks the scan has.
+    """
     wanted = ranges or shuffle_partitions(df.sparkSession)
     wanted = max(2, min(wanted, MAX_RANGES))
-    shares = [i / wanted for i in range(1, wanted)]
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(
-            _position(df, column), F.lit(np.array(shares)), F.lit(max(10000, 20 * wanted))
-        ).alias("bounds"),
+    points = F.lit(np.linspace(0, 1, SKETCH_POINTS))
+    groups = (
+        df.select(
+            _position(df, column).alias("_at"),
+            (F.spark_partition_id() % SKETCH_GROUPS).alias("_group"),
+        )
+        .groupBy("_group")
+        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_at", points).alias("_points"))
+    )
+    shares = F.lit(np.arange(1, wanted) / wanted)
+    points_of_all = groups.select(
+        "_n", F.posexplode_outer("_points").alias("_nr", "_point")
+    )
+    row = points_of_all.agg(
+        F.sum(F.when(F.coalesce("_nr", F.lit(0)) == 0, F.col("_n"))).alias("n"),
+        F.percentile(F.col("_point").cast("double"), shares, F.col("_n")).alias("bounds"),
     ).first()
-    return row["n"], sorted({float(b) for b in row["bounds"] or []})
+    return row["n"] or 0, sorted(set(row["bounds"] or []))
 
 
 def _with_range(df: DataFrame, column: str, bounds: list) -> DataFrame:

@@ -11,6 +11,7 @@ from fleetframe.plans import table
 
 DENY = ["Customer#*5", "Customer#???????[0-4]*"]
 ALLOW = ["Customer#*[!1-9]5", "*33"]
+LOCATIONS = ["/store/RF", "/store/RO", "/store/NF", "/store/NO", "/store/AF"]
 NAMES = ["*ring", "s[!m]*", "?ed *", "h[aeiou]t [a-g]*"]
 
 
@@ -128,15 +129,7 @@ def first_available(spark, sf):
     wanted = table(spark, sf, "orders").select(
         "o_orderkey", F.concat(F.lit("order_"), "o_orderkey", F.lit(".root")).alias("name")
     )
-    flags = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus").distinct()
-    locations = flags.select(
-        F.concat(F.lit("/store/"), "l_returnflag", "l_linestatus").alias("dir"),
-        (
-            F.instr(F.lit("RNA"), F.col("l_returnflag")) * 2
-            + (F.col("l_linestatus") == "O").cast("int")
-        ).alias("priority"),
-    )
-    return lookup.first_available(wanted, locations, _listing(spark, sf))
+    return lookup.first_available(wanted, LOCATIONS, _listing(spark, sf))
 
 
 def missing_inputs(spark, sf):
@@ -285,8 +278,9 @@ QUERIES = {
         first_available,
         """with l as (
              select distinct l_orderkey, '/store/' || l_returnflag || l_linestatus as dir,
-                    strpos('RNA', l_returnflag) * 2 + cast(l_linestatus = 'O' as int) as priority
-             from lineitem
+                    strpos('RNA', l_returnflag) * 2 + cast(l_linestatus = 'O' as int) - 2
+                      as priority
+             from lineitem where l_returnflag <> 'A' or l_linestatus <> 'O'
            ), b as (
              select l_orderkey, arg_min(dir, priority) as dir, min(priority) as priority
              from l group by 1

@@ -38,22 +38,21 @@ def markers(spark, sf) -> DataFrame:
     code = F.when(F.col("l_discount") < 0.08, 0).otherwise(1)
     none = F.lit(None).cast("int")
 
-    def marker(kind, exitcode):
-        return F.struct(F.lit(kind).alias("kind"), exitcode.cast("int").alias("exitcode"))
-
-    kinds = F.array_compact(
-        F.array(
-            F.when(early, marker("log", none)),
-            F.when(F.col("l_returnflag").isin("A", "R"), marker("out", none)),
-            F.when(F.col("l_returnflag") == "R", marker("exitcode", code)),
-        )
+    def marker(kind, present, exitcode=none):
+        return F.struct(F.when(present, F.lit(kind)).alias("kind"), exitcode.alias("exitcode"))
+
+    kinds = F.array(
+        marker("log", early),
+        marker("out", F.col("l_returnflag").isin("A", "R")),
+        marker("exitcode", F.col("l_returnflag") == "R", code.cast("int")),
     )
-    return lines.select(
+    rows = lines.select(
         F.concat(F.lit("order"), F.col("l_orderkey")).alias("name"),
         F.col("l_orderkey").alias("cluster_id"),
         F.col("l_linenumber").alias("proc_id"),
         F.explode(kinds).alias("_m"),
-    ).select("name", "cluster_id", "proc_id", "_m.*")
+    )
+    return rows.select("name", "cluster_id", "proc_id", "_m.*").filter(F.col("kind").isNotNull())
 
 
 def jobs(spark, sf) -> DataFrame:
