@@ -25,9 +25,9 @@ from fleetframe.functions.times import wall_micros
 from fleetframe.session import shuffle_partitions
 
 _RANGE, _VALUE, _EDGE, _ALL = "_ff_range", "_ff_value", "_ff_edge", "_ff_all"
-MAX_RANGES = 65536
+MAX_RANGES = 32768
 SKETCH_GROUPS = 256
-SKETCH_POINTS = 2048
+SKETCH_POINTS = 512
 
 
 def _position(df: DataFrame, column: str) -> Column:
