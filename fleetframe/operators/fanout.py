@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,17 +66,23 @@ def fan_out(
     )
     names = [field.name for field in schema]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for scope in batch.to_dict("records"):
-                allowed = int(scope.pop("_allowed"))
-                done = _attempt(fn, scope, allowed, pause)
-                rows.append((*[scope[key] for key in keys], round_no, *done))
-            yield pd.DataFrame(rows, columns=names)
+            records = []
+            for scope in batch.to_pylist():
+                records.append(_attempt(fn, scope, scope.pop("_allowed"), pause))
+            tried, codes, outs, errs = zip(*records) if records else ((), (), (), ())
+            columns = [batch.column(key) for key in keys] + [
+                pa.array([round_no] * len(records), pa.int32()),
+                pa.array(tried, pa.int32()),
+                pa.array(codes, pa.int32()),
+                pa.array(outs, pa.string()),
+                pa.array(errs, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     spread = spec.repartition(partitions or shuffle_partitions(params.sparkSession), *keys)
-    return spread.mapInPandas(run, schema)
+    return spread.mapInArrow(run, schema)
 
 
 def first_job(params: DataFrame, order: str) -> DataFrame:

@@ -1,17 +1,18 @@
-"""Ordered operators (prefix sums, numbering, look-back, look-ahead) without one-task windows.
+"""Ordered operators (prefix sums, numbering, look-back, look-ahead) that survive hot keys.
 
-A window partitioned by a key sends all rows of the key to one task. Here the order column is
-cut into ranges first, at quantiles of the data, so that a window group is one range of one
-key: however large the key, no group exceeds a range. What a range needs to know about the
-earlier (or later) ranges of its key is one summary row, found by a window over the summaries,
-of which a key has at most as many as there are ranges. The summary enters the range as one
-extra row before (or after) its data, so the data is shuffled once and joined with nothing.
+A window partitioned by a key sends all rows of the key to one task. So the sizes of the keys are
+measured first. If none is larger than a task's share of the table, the plain window is the plan.
+Otherwise the order column is cut into ranges, at quantiles of the data, so that a window group is
+one range of one key: however large the key, no group exceeds a range. What a range needs to know
+about the earlier (or later) ranges of its key is one summary row, found by a window over the
+summaries, of which a key has at most as many as there are ranges. The summary enters the range as
+one extra row before (or after) its data, so the data is shuffled once and joined with nothing.
+Without a key the table is always cut.
 
 `order` must be unique inside a key, by the first column or with the tie-breakers that follow
-it. The first column decides the range and has to be a number or a time. The quantiles cost one
-scan of that column; where `df` is itself the result of much work, `profile` names a cheaper
-table whose column of that name is spread alike. The bounds decide only how even the work is,
-never the result.
+it. The first column decides the range and has to be a number or a time. The bounds decide only
+how even the work is, never the result. Both measurements read the table once, so a table that is
+itself the result of much work should be written before it comes here.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from fleetframe.session import shuffle_partitions
 
 _RANGE, _VALUE, _EDGE, _ALL = "_ff_range", "_ff_value", "_ff_edge", "_ff_all"
 MAX_RANGES = 32768
+HOT_ROWS = 1_000_000
 SKETCH_GROUPS = 256
 SKETCH_POINTS = 512
 
@@ -88,27 +90,36 @@ def _with_range(df: DataFrame, column: str, bounds: list) -> DataFrame:
     return df.withColumn(_RANGE, found)
 
 
+def _has_hot_key(df: DataFrame, keys: list[str]) -> bool:
+    """Some key has more rows than a million and than a task's share of the table."""
+    sizes = df.groupBy(*keys).count()
+    row = sizes.agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    share = (row["n"] or 0) / shuffle_partitions(df.sparkSession)
+    return (row["most"] or 0) > max(HOT_ROWS, share)
+
+
 class _Ranges:
-    """A table cut into order ranges, with its keys and order."""
-
-    def __init__(
-        self,
-        df: DataFrame,
-        keys: list[str],
-        order: str | list[str],
-        ranges: int | None,
-        profile: DataFrame | None = None,
-    ):
+    """A table with its keys and order, cut into order ranges where `split` says so.
+
+    A given number of ranges is used in any case.
+    """
+
+    def __init__(self, df: DataFrame, keys: list[str], order: str | list[str], ranges: int | None):
         self.order = [order] if isinstance(order, str) else list(order)
         self.columns = df.columns
         # Without a key the whole table is one key: its summaries are at most MAX_RANGES rows.
         self.keys = list(keys) or [_ALL]
-        self.count, bounds = _quantiles(
-            df if profile is None else profile, self.order[0], ranges
-        )
-        self.rows = _with_range(df, self.order[0], bounds)
-        if not keys:
-            self.rows = self.rows.withColumn(_ALL, F.lit(0))
+        self.rows = df
+        self.split = not keys or ranges is not None or _has_hot_key(df, keys)
+        if self.split:
+            self.count, bounds = _quantiles(df, self.order[0], ranges)
+            self.rows = _with_range(df, self.order[0], bounds)
+            if not keys:
+                self.rows = self.rows.withColumn(_ALL, F.lit(0))
+
+    def whole(self) -> Window:
+        """The window over a whole key, where no key is too large for it."""
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def summaries(self, value: Column) -> DataFrame:
         return self.rows.groupBy(*self.keys, _RANGE).agg(value.alias(_VALUE))
@@ -136,18 +147,21 @@ def sum_before(
     value: str,
     out: str,
     ranges: int | None = None,
-    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Add the sum of `value` over the earlier rows of the key, 0 for its first row."""
-    cut = _Ranges(df, keys, order, ranges, profile)
+    cut = _Ranges(df, keys, order, ranges)
     return _sum_before(cut, F.coalesce(F.col(value), F.lit(0)), out)
 
 
 def _sum_before(cut: _Ranges, value: Column, out: str) -> DataFrame:
-    earlier = cut.over_ranges().rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.unboundedPreceding, -1)
+    if not cut.split:
+        total = F.sum(value).over(cut.whole().rowsBetween(*before))
+        return cut.rows.withColumn(out, F.coalesce(total, F.lit(0)))
+    earlier = cut.over_ranges().rowsBetween(*before)
     edges = cut.summaries(F.sum(value)).withColumn(_VALUE, F.sum(_VALUE).over(earlier))
     both = cut.with_edges(value, edges.filter(F.col(_VALUE).isNotNull()))
-    window = cut.inside(edge_first=True).rowsBetween(Window.unboundedPreceding, -1)
+    window = cut.inside(edge_first=True).rowsBetween(*before)
     return cut.finish(both.withColumn(out, F.coalesce(F.sum(_VALUE).over(window), F.lit(0))), out)
 
 
@@ -157,10 +171,9 @@ def index_within(
     order: str | list[str],
     out: str = "index",
     ranges: int | None = None,
-    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Add the 0-based position of each row inside its key."""
-    return _sum_before(_Ranges(df, keys, order, ranges, profile), F.lit(1).cast("bigint"), out)
+    return _sum_before(_Ranges(df, keys, order, ranges), F.lit(1).cast("bigint"), out)
 
 
 def index_and_count(
@@ -178,17 +191,20 @@ def last_so_far(
     value: str,
     out: str,
     ranges: int | None = None,
-    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Add the latest non-null `value` of the key up to and including the row."""
-    cut = _Ranges(df, keys, order, ranges, profile)
+    cut = _Ranges(df, keys, order, ranges)
+    up_to_here = (Window.unboundedPreceding, 0)
+    if not cut.split:
+        latest = F.last(value, ignorenulls=True).over(cut.whole().rowsBetween(*up_to_here))
+        return df.withColumn(out, latest)
     place = F.when(F.col(value).isNotNull(), F.struct(*cut.order))
     # max_by is null for a range without a value, and the window looks past it.
     latest = cut.summaries(F.max_by(F.col(value), place))
     earlier = cut.over_ranges().rowsBetween(Window.unboundedPreceding, -1)
     edges = latest.withColumn(_VALUE, F.last(_VALUE, ignorenulls=True).over(earlier))
     both = cut.with_edges(F.col(value), edges.filter(F.col(_VALUE).isNotNull()))
-    window = cut.inside(edge_first=True).rowsBetween(Window.unboundedPreceding, 0)
+    window = cut.inside(edge_first=True).rowsBetween(*up_to_here)
     return cut.finish(both.withColumn(out, F.last(_VALUE, ignorenulls=True).over(window)), out)
 
 
@@ -199,10 +215,11 @@ def next_value(
     value: str,
     out: str,
     ranges: int | None = None,
-    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Add `value` of the following row of the key, null for its last row."""
-    cut = _Ranges(df, keys, order, ranges, profile)
+    cut = _Ranges(df, keys, order, ranges)
+    if not cut.split:
+        return df.withColumn(out, F.lead(value).over(cut.whole()))
     first = cut.summaries(F.min_by(F.col(value), F.struct(*cut.order)))
     edges = first.withColumn(_VALUE, F.lead(_VALUE).over(cut.over_ranges()))
     both = cut.with_edges(F.col(value), edges.filter(F.col(_VALUE).isNotNull()))

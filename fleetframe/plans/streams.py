@@ -128,7 +128,7 @@ def output_table(spark, sf):
     )
     path = work_dir(spark, "output")
     sinks.write_output(rows, path)
-    sinks.write_output(rows.limit(0), path, if_exists="keep")
+    sinks.write_output(rows, path, if_exists="keep")
     back = spark.read.parquet(path)
     return back.groupBy("datestr", "cluster_id", "proc_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum("o_orderkey").alias("sum_key")
