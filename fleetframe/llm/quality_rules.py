@@ -11,6 +11,7 @@ Repeated rows are judged alike. Without usable labels only the base rules hold.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetframe.llm.common import written
+
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
     "n_lines", "n_upper", "n_digits", "n_marks",
@@ -204,14 +207,20 @@ def train(counts: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED
         .where("_low = _high")
         .select(F.col("doc_id").alias("_labelled"), (F.col("_low") == 0).alias("_bad"))
     )
-    sample = (
+    labelled = written(
         counts.where(~base_failed())
         .join(agreed, F.col("doc_id") == F.col("_labelled"))
         .select(
             F.xxhash64("doc_id", F.lit("grow")).alias("_at"),
             "_bad",
             *[F.expr(e).alias(f) for f, e in FEATURES.items()],
-        )
+        ),
+        "labelled",
+    )
+    # By hash a little more than the sample, so that only about as much is sorted and moved.
+    share = min(1.0, 1.2 * max_labelled / max(1, labelled.count()))
+    sample = (
+        labelled.where(F.pmod("_at", F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20))))
         .orderBy("_at", *FEATURES, "_bad")
         .limit(max_labelled)
         .toPandas()

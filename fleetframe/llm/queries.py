@@ -5,10 +5,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm import quality_rules, simhash
+from fleetframe.llm import line_dedup, mixing, packing, pii, quality_rules, simhash
 from fleetframe.llm.common import table, written
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes."""
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("draw")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeated three-line windows cover."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.char_length("text").cast("long").alias("n_chars"),
+        F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"),
+    )
+    return line_dedup.without_repeats(docs).select(
+        "doc_id", "n_lines", "n_chars", F.char_length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+OP3_SQL = r"""
+with parted as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+numbered as (
+    select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from parted
+),
+starts as (
+    select doc_id, lines, unnest(range(len(lines) - 2)) as pos from parted where len(lines) >= 3
+),
+windows as (
+    select doc_id, pos,
+        lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] as body
+    from starts
+),
+placed as (
+    select doc_id, pos, row_number() over (partition by body order by doc_id, pos) as nth
+    from windows where trim(body, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
+),
+covered as (
+    select distinct doc_id, pos + step as pos
+    from placed, (select unnest(range(3)) as step) where nth > 1
+),
+kept as (
+    select n.doc_id, string_agg(n.line, chr(10) order by n.pos) as body
+    from numbered n left join covered c on n.doc_id = c.doc_id and n.pos = c.pos
+    where c.pos is null group by n.doc_id
+)
+select p.doc_id, cast(len(p.lines) as bigint) as n_lines, cast(length(p.text) as bigint) as n_chars,
+    cast(length(coalesce(k.body, '')) as bigint) as kept_chars,
+    sha256(coalesce(k.body, '')) as kept_sha256
+from parted p left join kept k on p.doc_id = k.doc_id
+"""
+
+
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base spans, and those that reliable contexts add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.span_digest(*pii.personal_data(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics of every document, the base rules and the learned list's verdict."""
     stats = quality_rules.statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -27,6 +94,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": (op1_best_fit_packing, None),
+    "op2_source_mixing": (op2_source_mixing, None),
+    "op3_line_dedup": (op3_line_dedup, OP3_SQL),
+    "op4_personal_data": (op4_personal_data, None),
     "op5_quality_rules": (op5_quality_rules, None),
     "op9_simhash": (op9_simhash, None),
 }
