@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm import line_dedup, mixing, packing, pii, quality_rules, simhash
+from fleetframe.llm import langid, licenses, line_dedup, mixing, packing, pii, quality_rules, simhash, superkmer, topk
 from fleetframe.llm.common import table, written
 
 
@@ -85,6 +85,67 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(counts, rules).select(*first, *quality_rules.COUNTS[5:])
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words that a 13-word window of an earlier document covers."""
+    return superkmer.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+OP6_SQL = r"""
+with worded as (
+    select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+),
+windows as (
+    select doc_id, pos, array_to_string(w[pos + 1 : pos + 13], ' ') as body
+    from (select doc_id, w, unnest(range(len(w) - 12)) as pos from worded where len(w) >= 13)
+),
+firsts as (select body, min(doc_id) as first from windows group by body),
+covered as (
+    select distinct w.doc_id, w.pos + step as pos
+    from windows w join firsts f on w.body = f.body and f.first < w.doc_id,
+        (select unnest(range(13)) as step)
+),
+kept as (
+    select n.doc_id, string_agg(n.word, ' ' order by n.pos) as body, count(*) as n
+    from (select doc_id, unnest(w) as word, unnest(range(len(w))) as pos from worded) n
+        left join covered c on n.doc_id = c.doc_id and n.pos = c.pos
+    where c.pos is null group by n.doc_id
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words,
+    cast(len(d.w) - coalesce(k.n, 0) as bigint) as n_removed, sha256(coalesce(k.body, '')) as kept_sha256
+from worded d left join kept k on d.doc_id = k.doc_id
+"""
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+OP7_SQL = """
+with whole as (
+    select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+    from embeddings
+),
+scored as (
+    select q.vec_id as query_id, c.vec_id,
+        cast(list_sum(list_transform(range(len(q.v)), lambda i: q.v[i + 1] * c.v[i + 1])) as bigint) as score
+    from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+),
+ranked as (
+    select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank
+    from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    return langid.identified(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -93,13 +154,78 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scanned(docs)
+    names = F.array_sort(F.array_distinct(F.col("matches.license")))
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"),
+        F.array_join(names, ",").alias("licenses"),
+        F.coalesce(F.array_max("matches.dice"), F.lit(0.0)).alias("best_dice"),
+    )
+
+
+def _op10_sql() -> str:
+    rows = ",\n    ".join(
+        f"('{name}', [{', '.join(repr(g) for g in licenses.template_bigrams(text))}])"
+        for name, text in licenses.TEMPLATES
+    )
+    return rf"""
+with templates(name, grams) as (values
+    {rows}
+),
+plain as (
+    select doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') as body
+    from documents
+),
+passages as (
+    select doc_id, 'line' as kind, unnest(string_split(body, chr(10))) as body from plain
+    union all
+    select * from (
+        select doc_id, 'block' as kind, unnest(regexp_split_to_array(body, '\n *(?:\n *)+')) as body from plain
+    ) where contains(body, chr(10))
+),
+worded as (
+    select row_number() over () as passage, doc_id,
+        list_filter(string_split(replace(body, chr(10), ' '), ' '), lambda w: w <> '') as w
+    from passages
+),
+grams as (
+    select passage, doc_id,
+        list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g
+    from worded where len(w) >= 2
+),
+scored as (
+    select passage, doc_id, name,
+        cast(2 * len(list_intersect(g, grams)) as double) / (len(g) + len(grams)) as dice
+    from grams, templates where 2 * least(len(g), len(grams)) >= 0.8 * (len(g) + len(grams))
+),
+best as (
+    select doc_id, passage, max(dice) as dice, arg_min(name, (-dice, name)) as name
+    from scored where dice >= 0.8 group by doc_id, passage
+),
+per_doc as (
+    select doc_id, count(*) as n, string_agg(distinct name, ',' order by name) as names, max(dice) as dice
+    from best group by doc_id
+)
+select d.doc_id, coalesce(n, 0) as n_matches, coalesce(names, '') as licenses,
+    coalesce(dice, cast(0 as double)) as best_dice
+from documents d left join per_doc p on d.doc_id = p.doc_id
+"""
+
+
 QUERIES = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_source_mixing": (op2_source_mixing, None),
     "op3_line_dedup": (op3_line_dedup, OP3_SQL),
     "op4_personal_data": (op4_personal_data, None),
     "op5_quality_rules": (op5_quality_rules, None),
+    "op6_substring_dedup": (op6_substring_dedup, OP6_SQL),
+    "op7_exact_top_k": (op7_exact_top_k, OP7_SQL),
+    "op8_language_id": (op8_language_id, None),
     "op9_simhash": (op9_simhash, None),
+    "op10_license_scan": (op10_license_scan, _op10_sql()),
 }
 
 
