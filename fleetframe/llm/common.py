@@ -14,7 +14,6 @@ BATCH_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
-SALTS = 64
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -34,20 +33,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_key(*columns: str) -> Column:
-    """128 bits that stand for the row's texts, equal for equal rows; nulls differ from empty."""
-    parts = [F.col(c) for c in columns]
-    return F.struct(
-        F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(*parts, F.lit(2)).alias("h2")
-    )
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct, so that names an operator adds cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def text_hashes(text: str) -> tuple[Column, Column]:
+    """128 bits that stand for a text."""
+    return F.xxhash64(F.lit(1), F.col(text)), F.xxhash64(F.col(text), F.lit(2))
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], out: str, salt: Column) -> DataFrame:
     """Number the rows of each key from 0, by salt and then by `order`, without one task per key.
 
-    `salt` is a whole number in [0, SALTS). A key's rows are numbered inside each salt and shifted
-    by the sizes of the salts before it, so a key that holds a third of all rows is spread over
-    SALTS groups. What is summed over is SALTS rows a key at most. Null keys form a key of their own.
+    `salt` is a whole number from 0. A key's rows are numbered inside each salt and shifted by the
+    sizes of the salts before it, so a key that holds a third of all rows is spread over as many
+    groups as there are salts. Null keys form a key of their own.
     """
     salted = df.withColumn("_salt", salt.cast("int"))
     sizes = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_size"))

@@ -17,15 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import written
+from fleetframe.llm.common import text_hashes, whole_row, written
 
 SIZE = 3
 
 
 def _identity(doc: DataFrame, key: str, text: str) -> DataFrame:
+    h1, h2 = text_hashes(text)
     return doc.select(
-        F.col(key).isNull().alias("late"), F.col(key).alias("id"),
-        F.xxhash64(F.lit(1), F.col(text)).alias("h1"), F.xxhash64(F.col(text), F.lit(2)).alias("h2"),
+        F.col(key).isNull().alias("late"), F.col(key).alias("id"), h1.alias("h1"), h2.alias("h2"),
         F.split(F.col(text), "\n", -1).alias("lines"),
     )
 
@@ -79,12 +79,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """The documents without the lines that later occurrences of a window cover, in `text`."""
     narrow = docs.select(F.col(key).alias(key), F.col(text).alias(text))
     marks = written(repeats(narrow, key, text), "repeats")
-    held = docs.select(
-        F.struct(*docs.columns).alias("d_"),
-        F.xxhash64(F.lit(1), F.col(text)).alias("t1"), F.xxhash64(F.col(text), F.lit(2)).alias("t2"),
-    )
+    h1, h2 = text_hashes(text)
+    held = docs.select(whole_row(docs).alias("d_"), h1.alias("t1"), h2.alias("t2"))
+    # The texts move at every size, rather than only once the marks are too many to broadcast.
     joined = held.join(
-        marks,
+        marks.hint("merge"),
         F.col("d_")[key].eqNullSafe(F.col("id")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")),
         "left",
     )
@@ -93,5 +92,5 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         F.array_join(kept_lines(), "\n")
     )
     return parted.select(
-        *[cleaned.alias(c) if c == text else F.col("d_")[c].alias(c) for c in docs.columns]
+        *[(cleaned if c == text else F.col("d_")[c]).alias(c) for c in docs.columns]
     )

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetframe.llm.common import WORD, ranked, written
+from fleetframe.llm.common import WORD, ranked, whole_row, written
 
 WEIGHTS = (3, 1, 2)  # repeating over the sources
 SHARE = 1.5  # of all sizes
@@ -191,9 +191,9 @@ def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
     by_draw = shares.groupBy(F.col("draw").alias("_draw"), F.col("doc_id").alias("_id")).agg(
         F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")
     )
-    held = docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", draw(seed).alias("_own"))
+    held = docs.select(whole_row(docs).alias("_doc"), "doc_id", draw(seed).alias("_own"))
     wanted = (F.col("_own") == F.col("_draw")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    taken = held.join(by_draw.where("_copies > 0"), wanted)
+    taken = held.join(by_draw.where("_copies > 0").hint("merge"), wanted)
     once = taken.where("_rows = 1").unionByName(
         taken.where("_rows > 1").dropDuplicates(["_draw", "_id"])
     )

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetframe.llm.common import written
+from fleetframe.llm.common import text_hashes, whole_row, written
 from fleetframe.llm.graph import components
 
 SHINGLE = 4
@@ -200,9 +200,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Null ids come last; equal ids are told apart by their texts, and of repeated rows one stays.
     """
+    h1, h2 = text_hashes(text)
     prepared = docs.select(
-        F.col(key).isNull().alias("late"), F.col(key).alias("id"),
-        F.xxhash64(F.lit(1), F.col(text)).alias("h1"), F.xxhash64(F.col(text), F.lit(2)).alias("h2"),
+        F.col(key).isNull().alias("late"), F.col(key).alias("id"), h1.alias("h1"), h2.alias("h2"),
         fingerprint(F.col(text)).alias("bits"),
     )
     prints = written(
@@ -213,14 +213,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     first = F.min(F.struct("late", "id", "h1", "h2", "copies")).alias("first")
     by_bits = prints.groupBy("bits").agg(first)
     kept = roots.join(by_bits, "bits").groupBy("root").agg(F.min("first").alias("first"))
-    kept = kept.select("first.*")
-    own = docs.withColumn("_h1", F.xxhash64(F.lit(1), F.col(text))).withColumn(
-        "_h2", F.xxhash64(F.col(text), F.lit(2))
+    own = docs.select(
+        whole_row(docs).alias("doc"), F.col(key).alias("own"), h1.alias("t1"), h2.alias("t2")
     )
     stay = own.join(
-        kept,
-        own[key].eqNullSafe(kept["id"]) & (own["_h1"] == kept["h1"]) & (own["_h2"] == kept["h2"]),
+        kept.select("first.*").hint("merge"),
+        F.col("own").eqNullSafe(F.col("id")) & (F.col("t1") == F.col("h1")) & (F.col("t2") == F.col("h2")),
     )
-    single = stay.where("copies = 1").select(*[own[c] for c in docs.columns])
     repeated = stay.where("copies > 1").dropDuplicates(["late", "id", "h1", "h2"])
-    return single.unionByName(repeated.select(*[own[c] for c in docs.columns]))
+    return stay.where("copies = 1").unionByName(repeated).select("doc.*")
