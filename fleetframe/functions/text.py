@@ -7,14 +7,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Leading or trailing white space in the Unicode sense, with the four ASCII separators.
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# White space in the Unicode sense, with the four ASCII separators.
+_BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203),
+                            8232, 8233, 8239, 8287, 12288]))
 _COLOUR = r"\x1b\[\d+m"
 _LOCAL = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def strip_comments(text: Column) -> Column:
@@ -28,6 +29,7 @@ def strip_comments(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda line: line != ""), "\n")
 
 
+# Fixed value: the default pattern of paths, which results depend on.
 def find_paths(text: Column, pattern: str = "/store/mc.*?root") -> Column:
     """All non-overlapping matches of `pattern`, in text order. A dot stops at line ends."""
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -45,6 +47,7 @@ def dataset_name(key: Column) -> Column:
 
 def submitted_pairs(output: Column) -> Column:
     """array<struct<njobs, cluster_id>> reported in the output of a submit command."""
+    # Fixed value: the report of a submit command.
     pattern = F.lit(r"(\d+) job\(s\) submitted to cluster (\d+)")
     counts = F.regexp_extract_all(output, pattern, F.lit(1))
     clusters = F.regexp_extract_all(output, pattern, F.lit(2))
@@ -59,6 +62,7 @@ def submitted_pairs(output: Column) -> Column:
 
 def addresses(text: Column) -> Column:
     """Host addresses in a free-form list."""
+    # Fixed value: the characters of an address.
     return F.regexp_extract_all(text, F.lit(r"[\w/:.\-]+"), F.lit(0))
 
 
@@ -85,30 +89,39 @@ def is_local_path(path: Column) -> Column:
     return ~path.rlike(_LOCAL)
 
 
+# A shell pattern falls into sets in brackets (a bracket right after the opening or after its !
+# is a member) and single characters; a set into ranges and single members.
+_GLOB_TOKEN = r"(?s)\[!?\]?[^\]]*\]|."
+_SET_PART = r"(?s).-.|."
+_NOTHING = "(?!)"
+
+
+def _escape(text: str) -> str:
+    return re.sub(r"([^0-9A-Za-z_])", r"\\\1", text)
+
+
+def _set_regex(token: str) -> str:
+    negated = token[1] == "!"
+    parts = []
+    for part in re.findall(_SET_PART, token[2 if negated else 1 : -1]):
+        if len(part) == 1:
+            parts.append(_escape(part))
+        elif part[0] <= part[2]:  # a range that runs backwards holds nothing
+            parts.append(f"{_escape(part[0])}-{_escape(part[2])}")
+    if not parts:
+        return "." if negated else _NOTHING
+    return f"[{'^' * negated}{''.join(parts)}]"
+
+
+def _token_regex(token: str) -> str:
+    if len(token) > 1:
+        return _set_regex(token)
+    return {"*": ".*", "?": "."}.get(token) or _escape(token)
+
+
 def glob_regex(pattern: str) -> str:
     """Regular expression of a shell pattern: * ? [x] [!x], whole string."""
-    out, i = [], 0
-    while i < len(pattern):
-        char = pattern[i]
-        close = -1
-        if char == "[":
-            # A bracket right after the opening (or after its !) is a member of the set.
-            first = i + 2 if pattern[i + 1 : i + 2] == "!" else i + 1
-            close = pattern.find("]", first + 1)
-        if char == "*":
-            out.append(".*")
-        elif char == "?":
-            out.append(".")
-        elif close > 0:
-            body = pattern[i + 1 : close]
-            negated = body.startswith("!")
-            body = re.sub(r"([\\^\[\]&])", r"\\\1", body[1:] if negated else body)
-            out.append(f"[{'^' if negated else ''}{body}]")
-            i = close
-        else:
-            out.append(re.escape(char))
-        i += 1
-    return "(?s)^(?:" + "".join(out) + ")$"
+    return "(?s)^(?:" + "".join(map(_token_regex, re.findall(_GLOB_TOKEN, pattern))) + r")\z"
 
 
 def matches_any(text: Column, patterns: list[str]) -> Column:
@@ -118,19 +131,39 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
     """
     if not patterns:
         return F.lit(False)
-    bodies = [glob_regex(p).removeprefix("(?s)^").removesuffix("$") for p in patterns]
-    return text.rlike("(?s)^(?:" + "|".join(bodies) + ")$")
+    bodies = [glob_regex(p).removeprefix("(?s)^").removesuffix(r"\z") for p in patterns]
+    return text.rlike("(?s)^(?:" + "|".join(bodies) + r")\z")
 
 
 def glob_regex_column(pattern: Column) -> Column:
     """`glob_regex` for patterns that come as a column."""
-    escaped = F.regexp_replace(pattern, r"([\\.+(){}|^$])", r"\\$1")
-    negated = F.regexp_replace(escaped, r"\[!", "[^")
-    return F.concat(
-        F.lit("(?s)^(?:"),
-        F.regexp_replace(F.regexp_replace(negated, r"\*", ".*"), r"\?", "."),
-        F.lit(")$"),
-    )
+
+    def escape(text: Column) -> Column:
+        return F.regexp_replace(text, "([^0-9A-Za-z_])", r"\\$1")
+
+    def part_regex(part: Column) -> Column:
+        low, high = F.substring(part, 1, 1), F.substring(part, 3, 1)
+        backwards = F.when(low > high, "").otherwise(F.concat(escape(low), F.lit("-"), escape(high)))
+        return F.when(F.length(part) == 1, escape(part)).otherwise(backwards)
+
+    def set_regex(token: Column) -> Column:
+        negated = F.substring(token, 2, 1) == "!"
+        start = F.when(negated, 3).otherwise(2)
+        body = F.substring(token, start, F.length(token) - start)
+        parts = F.regexp_extract_all(body, F.lit(_SET_PART), F.lit(0))
+        members = F.array_join(F.transform(parts, part_regex), "")
+        empty = F.when(negated, ".").otherwise(_NOTHING)
+        full = F.concat(F.when(negated, "[^").otherwise("["), members, F.lit("]"))
+        return F.when(members == "", empty).otherwise(full)
+
+    def token_regex(token: Column) -> Column:
+        return (
+            F.when(F.length(token) > 1, set_regex(token))
+            .when(token == "*", ".*").when(token == "?", ".").otherwise(escape(token))
+        )
+
+    tokens = F.regexp_extract_all(pattern, F.lit(_GLOB_TOKEN), F.lit(0))
+    return F.concat(F.lit("(?s)^(?:"), F.array_join(F.transform(tokens, token_regex), ""), F.lit(r")\z"))
 
 
 def log_fields(line: Column) -> Column:
@@ -139,6 +172,7 @@ def log_fields(line: Column) -> Column:
     `[name|   LEVEL|time|module]: message` for the tool, `[time]: message` for a child process.
     """
     plain = F.regexp_replace(line, _COLOUR, "")
+    # The two layouts of a line.
     full = r"^\[([^|\]]+)\|\s*(\w+)\|(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\|([^\]]+)\]: (.*)$"
     short = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\]: (.*)$"
     is_full, is_short = plain.rlike(full), plain.rlike(short)

@@ -26,6 +26,7 @@ def _attempt(fn: Callable, scope: dict, allowed: int, pause: float) -> tuple:
             return attempt, 0, None if result is None else str(result), None
         except SystemExit as stop:
             code = stop.code if isinstance(stop.code, int) else int(stop.code is not None)
+            code = max(-(2**31), min(code, 2**31 - 1))
             outcome = (attempt, code, None, f"exit {stop.code}")
             if code == 0:
                 return attempt, 0, None, None
@@ -48,12 +49,12 @@ def fan_out(
     """Ledger of one call of `fn` per row, with the row and the `attempt` as its scope.
 
     A failing row is recorded and does not stop the others. `attempts` is a number or a column
-    with the number of tries of the row. Spark may run a task twice, so `fn` has to be
+    with the number of tries of the row; a row without a number has one. Exit codes beyond 32
+    bits become the nearest code within. Spark may run a task twice, so `fn` has to be
     repeatable and the ledger is read through `latest_attempt`.
     """
-    spec = params.withColumn(
-        "_allowed", F.col(attempts) if isinstance(attempts, str) else F.lit(attempts)
-    )
+    allowed = F.col(attempts) if isinstance(attempts, str) else F.lit(attempts)
+    spec = params.withColumn("_allowed", F.coalesce(allowed, F.lit(1)))
     schema = T.StructType(
         [params.schema[key] for key in keys]
         + [

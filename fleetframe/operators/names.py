@@ -13,7 +13,7 @@ MAX_ROUNDS = 32
 
 def _splits(name: Column) -> Column:
     """All ways to read a name as a base followed by a canonical number of up to 18 digits."""
-    digits = F.length(F.regexp_extract(name, r"(\d{0,18})$", 1))
+    digits = F.length(F.regexp_extract(name, r"(\d{0,18})\z", 1))
     lengths = F.when(digits > 0, F.sequence(F.lit(1), F.least(digits, F.length(name) - 1)))
     cuts = F.transform(
         lengths,

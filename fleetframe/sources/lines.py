@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetframe.operators.ordered import index_within
 
 
+def plain_path(encoded: Column) -> Column:
+    """The path as it is named on disk; `_metadata.file_path` is URI-encoded, with a plain plus."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, line_no, line) of text files, numbered from 0.
 
@@ -16,7 +21,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     by split and needs no task that sees a whole file.
     """
     raw = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+        plain_path(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("_offset"),
         F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("line"),
@@ -28,5 +33,5 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, text) with one row per file, for small documents such as JSON objects."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
+        plain_path(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text")
     )

@@ -24,15 +24,19 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_manifests(documents: DataFrame, text: str = "text") -> DataFrame:
-    """One row per manifest: submission_timestamp, njobsmax, cli, submitted (variant)."""
+    """One row per manifest: submission_timestamp, njobsmax, cli, submitted (variant), bad_document.
+
+    A text that is not JSON, or whose `submitted` is no list, is flagged and has null fields.
+    """
     doc = F.col("_doc")
     # A projection of its own, so that each document is parsed once.
-    return documents.withColumn("_doc", F.parse_json(text)).select(
+    return documents.withColumn("_doc", F.try_parse_json(text)).select(
         *[c for c in documents.columns if c != text],
         F.try_variant_get(doc, "$.submission_timestamp", "string").alias("submission_timestamp"),
         F.try_variant_get(doc, "$.njobsmax", "bigint").alias("njobsmax"),
         F.try_variant_get(doc, "$.cli", "boolean").alias("cli"),
-        F.variant_get(doc, "$.submitted", "array<variant>").alias("submitted"),
+        F.try_variant_get(doc, "$.submitted", "array<variant>").alias("submitted"),
+        F.try_variant_get(doc, "$.submitted", "array<variant>").isNull().alias("bad_document"),
     )
 
 
@@ -48,7 +52,7 @@ def manifest_entries(manifests: DataFrame) -> DataFrame:
         F.posexplode_outer("submitted").alias("entry_no", "_e"),
     ).filter(F.col("entry_no").isNotNull())
     e = F.col("_e")
-    settings = F.variant_get(e, "$[0]", "map<string,variant>")
+    settings = F.try_variant_get(e, "$[0]", "map<string,variant>")
     plain = F.map_filter(settings, lambda key, _: key != "environment")
     parsed = rows.withColumns(
         {
@@ -78,7 +82,7 @@ def read_scopes(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_scopes(documents: DataFrame, schema: str | None = None, text: str = "text") -> DataFrame:
     """Scopes as `scope`: free-form (variant), or typed with a schema of the user."""
-    scope = F.parse_json(text) if schema is None else F.from_json(text, schema)
+    scope = F.try_parse_json(text) if schema is None else F.from_json(text, schema)
     return documents.withColumn("scope", scope).drop(text)
 
 

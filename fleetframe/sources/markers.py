@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,25 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetframe.functions.text import matches_any
+from fleetframe.sources.lines import plain_path
 
 LISTED = "path string, length bigint"
 LISTING_BATCH = 10000
 MARKER = r"^(out|err|log|exitcode)_.*_\d+_\d+\.txt$"
 
 
-def _scan_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _entries(folder: str) -> Iterator[tuple[str, int]]:
+    """Name and size of a folder's files, one at a time where the file system allows that."""
     from pyarrow import fs
 
+    if "://" not in folder:
+        with os.scandir(folder) as found:
+            for entry in found:
+                if entry.is_file():
+                    yield entry.name, entry.stat().st_size
+        return
+    system, root = fs.FileSystem.from_uri(folder)
+    for info in system.get_file_info(fs.FileSelector(root)):
+        if info.is_file:
+            yield info.base_name, info.size
+
+
+def _scan_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for folder in batch["folder"]:
-            if "://" in folder:
-                system, root = fs.FileSystem.from_uri(folder)
-            else:
-                system, root = fs.LocalFileSystem(), folder
-            found = system.get_file_info(fs.FileSelector(root))
-            files = [(f"{folder}/{i.base_name}", i.size) for i in found if i.is_file]
-            for start in range(0, len(files), LISTING_BATCH):
-                part = files[start : start + LISTING_BATCH]
+            rest = ((f"{folder}/{name}", size) for name, size in _entries(folder))
+            while part := list(itertools.islice(rest, LISTING_BATCH)):
                 yield pd.DataFrame(part, columns=["path", "length"])
 
 
@@ -77,7 +88,7 @@ def read_markers(spark: SparkSession, folders: str | list[str]) -> DataFrame:
     records = spark.read.option("pathGlobFilter", "exitcode_*.txt").text(folders, wholetext=True)
     code = F.regexp_replace("value", r"\s+", "").try_cast("int")
     opened = parse_marker_names(
-        records.select(F.col("_metadata.file_path").alias("path"), code.alias("exitcode"))
+        records.select(plain_path(F.col("_metadata.file_path")).alias("path"), code.alias("exitcode"))
     )
     no_code = F.lit(None).cast("int")
     return closed.withColumn("exitcode", no_code).select(*columns).unionByName(

@@ -14,7 +14,7 @@ def parse_queue(lines: DataFrame, line: str = "value") -> DataFrame:
 
     Word 0 is cluster.proc, word 1 the user, word 5 the status letter, the last the script.
     """
-    jobs = lines.filter(F.col(line).rlike(r"^\s*\d+\.\d+"))
+    jobs = lines.filter(F.col(line).rlike(r"^\s*\d+\.\d+(\s|\z)"))
     rows = jobs.select(F.split(strip(F.col(line)), r"\s+").alias("_w"))
     job = F.split(F.get("_w", 0), r"\.")
     return rows.select(
