@@ -71,8 +71,11 @@ def slots(
     parts = shuffle_partitions(requests.sparkSession)
     low = F.col("_block") * SLOT_BLOCK
     high = F.least(low + SLOT_BLOCK, n) - 1
+    # Only the blocks of large requests are spread; one block is no more than a task's share.
+    large = blocks.filter(n > SLOT_BLOCK).repartition(parts)
     return (
-        blocks.repartition(parts)
+        blocks.filter(n <= SLOT_BLOCK)
+        .unionByName(large)
         .withColumn(out, F.explode(F.sequence(F.col("_first") + low, F.col("_first") + high)))
         .drop("_first", "_block")
     )
@@ -180,11 +183,10 @@ def assign_clusters(
             F.coalesce(end <= F.col("_hit.high"), F.lit(False)).alias("nested"),
         )
     )
-    path = work_dir(entries.sparkSession, "assigned")
-    found.write.parquet(path)
-    found = entries.sparkSession.read.schema(found.schema).parquet(path)
-    first_loose = found.groupBy(submission).agg(
-        F.min(F.when(~F.col("nested"), F.col(order))).alias("_loose")
+    # Whether an entry of the submission before this one, or this one, is loose: counted as a sum
+    # over the earlier rows, which is cut like any other.
+    counted = sum_before(
+        found.withColumn("_loose", (~F.col("nested")).cast("int")), [submission], order, "_loose", "_before"
     )
-    drifted = F.coalesce(F.col(order) >= F.col("_loose"), F.lit(False))
-    return found.join(first_loose, submission, "left").withColumn("drifted", drifted).drop("_loose")
+    drifted = (F.col("_before") > 0) | ~F.col("nested")
+    return counted.withColumn("drifted", drifted).drop("_loose", "_before")

@@ -1,101 +1,52 @@
 """Ordered operators (prefix sums, numbering, look-back, look-ahead) that survive hot keys.
 
 A window partitioned by a key sends all rows of the key to one task. So the sizes of the keys are
-measured first. If none is larger than a task's share of the table, the plain window is the plan.
-Otherwise the order column is cut into ranges, at quantiles of the data, so that a window group is
-one range of one key: however large the key, no group exceeds a range. What a range needs to know
-about the earlier (or later) ranges of its key is one summary row, found by a window over the
-summaries, of which a key has at most as many as there are ranges. The summary enters the range as
-one extra row before (or after) its data, so the data is shuffled once and joined with nothing.
-Without a key the table is always cut.
-
-`order` must be unique inside a key, by the first column or with the tie-breakers that follow
-it. The first column decides the range and has to be a number or a time. The bounds decide only
-how even the work is, never the result. Both measurements read the table once, so a table that is
-itself the result of much work should be written before it comes here.
+measured first. If none is larger than HOT_ROWS, the plain window is the plan. Otherwise the order
+is cut into ranges of at most RANGE_ROWS rows, so that a window group is one range of one key:
+however large the key, no group exceeds a range. What a range needs to know about the earlier (or
+later) ranges of its key is one summary row, found by a window over the summaries, of which a key
+has at most as many as there are ranges. The summary enters the range as one extra row before (or
+after) its data, so the data is joined with nothing. Without a key the table is always cut. Both
+plans give the same rows, columns and types.
+
+`order` must be unique inside a key, by the first column or with the tie-breakers that follow it;
+any type that sorts will do, nulls come first. Spark's range shuffle cuts on the whole order, ties
+included, and the sorted rows are written with their range, so that every later use and repeated
+task sees the same cut. The setting `fleetframe.ranges` makes every call cut its table.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from fleetframe.functions.times import wall_micros
-from fleetframe.session import shuffle_partitions
-
-_RANGE, _VALUE, _EDGE, _ALL = "_ff_range", "_ff_value", "_ff_edge", "_ff_all"
-MAX_RANGES = 32768
-HOT_ROWS = 1_000_000
-SKETCH_GROUPS = 256
-SKETCH_POINTS = 512
-
-
-def _position(df: DataFrame, column: str) -> Column:
-    """The order column as a number that sorts the same way."""
-    kind = df.schema[column].dataType
-    if isinstance(kind, (T.TimestampNTZType, T.DateType)):
-        return wall_micros(F.col(column))
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(column)
-    if isinstance(kind, T.NumericType):
-        return F.col(column)
-    raise TypeError(f"order column {column} must be a number or a time, not {kind}")
-
-
-def _quantiles(df: DataFrame, column: str, ranges: int | None) -> tuple[int, list]:
-    """Row count and the inner range bounds: one scan of one column, at most MAX_RANGES values.
 
-    Every task sketches its rows, SKETCH_GROUPS reducers each merge the sketches of some tasks
-    into SKETCH_POINTS quantiles, and the last step weighs those points only. So no task sees
-    more than a fraction of the sketches, however many tasks the scan has.
-    """
-    wanted = ranges or shuffle_partitions(df.sparkSession)
-    wanted = max(2, min(wanted, MAX_RANGES))
-    points = F.lit(np.linspace(0, 1, SKETCH_POINTS))
-    groups = (
-        df.select(
-            _position(df, column).alias("_at"),
-            (F.spark_partition_id() % SKETCH_GROUPS).alias("_group"),
-        )
-        .groupBy("_group")
-        .agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_at", points).alias("_points"))
-    )
-    shares = F.lit(np.arange(1, wanted) / wanted)
-    points_of_all = groups.select(
-        "_n", F.posexplode_outer("_points").alias("_nr", "_point")
-    )
-    row = points_of_all.agg(
-        F.sum(F.when(F.coalesce("_nr", F.lit(0)) == 0, F.col("_n"))).alias("n"),
-        F.percentile(F.col("_point").cast("double"), shares, F.col("_n")).alias("bounds"),
-    ).first()
-    return row["n"] or 0, sorted(set(row["bounds"] or []))
-
-
-def _with_range(df: DataFrame, column: str, bounds: list) -> DataFrame:
-    """Add the range number: how many bounds are not above the value, by binary search."""
-    if not bounds:
-        return df.withColumn(_RANGE, F.lit(0))
-    cuts = F.lit(np.array(bounds, dtype="float64"))
-    value = _position(df, column).cast("double")
-    steps = F.lit(
-        np.array([1 << k for k in reversed(range(len(bounds).bit_length()))], dtype="int32")
-    )
-    found = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda low, step: F.when(F.get(cuts, low + step - 1) <= value, low + step).otherwise(low),
+from fleetframe.session import shuffle_partitions, work_dir
+
+_RANGE, _VALUE, _EDGE, _ALL, _OUT = "_ff_range", "_ff_value", "_ff_edge", "_ff_all", "_ff_out"
+FORCED = "fleetframe.ranges"
+HOT_ROWS = 1_000_000  # the most rows of a key that one task takes
+RANGE_ROWS = 1_000_000  # the most rows of a range
+LEAST_ROWS = 10_000  # of a part of a small table, so that it is cut at all
+MAX_PARTS = 4096  # of the range shuffle; larger parts fall into several ranges
+_PLACE_BITS = 33  # of a row's number in its part
+
+
+def _cut(df: DataFrame, order: list[str], count: int, parts: int | None) -> DataFrame:
+    """The rows, written in their order, with the number of their range."""
+    spark = df.sparkSession
+    even = min(shuffle_partitions(spark), math.ceil(count / LEAST_ROWS))
+    wanted = parts or min(MAX_PARTS, max(2, even, math.ceil(count / RANGE_ROWS)))
+    sorted_ = df.repartitionByRange(wanted, *order).sortWithinPartitions(*order)
+    numbered = sorted_.withColumn(_RANGE, F.monotonically_increasing_id())
+    path = work_dir(spark, "ranges")
+    numbered.write.parquet(path)
+    part = F.shiftright(_RANGE, _PLACE_BITS)
+    inside = F.col(_RANGE).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return spark.read.schema(numbered.schema).parquet(path).withColumn(
+        _RANGE, part * F.lit(1 << 20) + F.floor(inside / RANGE_ROWS)
     )
-    return df.withColumn(_RANGE, found)
-
-
-def _has_hot_key(df: DataFrame, keys: list[str]) -> bool:
-    """Some key has more rows than a million and than a task's share of the table."""
-    sizes = df.groupBy(*keys).count()
-    row = sizes.agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
-    share = (row["n"] or 0) / shuffle_partitions(df.sparkSession)
-    return (row["most"] or 0) > max(HOT_ROWS, share)
 
 
 class _Ranges:
@@ -107,13 +58,20 @@ class _Ranges:
     def __init__(self, df: DataFrame, keys: list[str], order: str | list[str], ranges: int | None):
         self.order = [order] if isinstance(order, str) else list(order)
         self.columns = df.columns
-        # Without a key the whole table is one key: its summaries are at most MAX_RANGES rows.
+        # Without a key the whole table is one key.
         self.keys = list(keys) or [_ALL]
         self.rows = df
-        self.split = not keys or ranges is not None or _has_hot_key(df, keys)
+        forced = df.sparkSession.conf.get(FORCED, None)
+        ranges = ranges or (int(forced) if forced else None)
+        sizes = df.groupBy(*keys).count() if keys else df.agg(F.count(F.lit(1)).alias("count"))
+        if ranges is None or not keys:
+            row = sizes.agg(F.sum("count"), F.max("count")).first()
+            self.count, most = row[0] or 0, row[1] or 0
+        else:
+            self.count, most = df.count(), 0
+        self.split = not keys or ranges is not None or most > HOT_ROWS
         if self.split:
-            self.count, bounds = _quantiles(df, self.order[0], ranges)
-            self.rows = _with_range(df, self.order[0], bounds)
+            self.rows = _cut(df, self.order, self.count, ranges)
             if not keys:
                 self.rows = self.rows.withColumn(_ALL, F.lit(0))
 
@@ -136,8 +94,13 @@ class _Ranges:
         edge = F.col(_EDGE).desc() if edge_first else F.col(_EDGE).asc()
         return Window.partitionBy(*self.keys, _RANGE).orderBy(edge, *self.order)
 
-    def finish(self, df: DataFrame, *added: str) -> DataFrame:
-        return df.filter(~F.col(_EDGE)).select(*self.columns, *added)
+    def finish(self, df: DataFrame, added: Column, out: str) -> DataFrame:
+        """The input's columns and `out`, which replaces a column of that name, at the end."""
+        rows = df.withColumn(_OUT, added)
+        if self.split:
+            rows = rows.filter(~F.col(_EDGE))
+        kept = [c for c in self.columns if c.lower() != out.lower()]
+        return rows.select(*kept, F.col(_OUT).alias(out))
 
 
 def sum_before(
@@ -155,14 +118,17 @@ def sum_before(
 
 def _sum_before(cut: _Ranges, value: Column, out: str) -> DataFrame:
     before = (Window.unboundedPreceding, -1)
+    # A sum of sums would be of a wider decimal type.
+    kind = cut.rows.select(F.sum(value).alias(_OUT)).schema[_OUT].dataType
     if not cut.split:
         total = F.sum(value).over(cut.whole().rowsBetween(*before))
-        return cut.rows.withColumn(out, F.coalesce(total, F.lit(0)))
+        return cut.finish(cut.rows, F.coalesce(total, F.lit(0)).cast(kind), out)
     earlier = cut.over_ranges().rowsBetween(*before)
     edges = cut.summaries(F.sum(value)).withColumn(_VALUE, F.sum(_VALUE).over(earlier))
     both = cut.with_edges(value, edges.filter(F.col(_VALUE).isNotNull()))
     window = cut.inside(edge_first=True).rowsBetween(*before)
-    return cut.finish(both.withColumn(out, F.coalesce(F.sum(_VALUE).over(window), F.lit(0))), out)
+    total = F.coalesce(F.sum(_VALUE).over(window), F.lit(0)).cast(kind)
+    return cut.finish(both, total, out)
 
 
 def index_within(
@@ -197,7 +163,7 @@ def last_so_far(
     up_to_here = (Window.unboundedPreceding, 0)
     if not cut.split:
         latest = F.last(value, ignorenulls=True).over(cut.whole().rowsBetween(*up_to_here))
-        return df.withColumn(out, latest)
+        return cut.finish(df, latest, out)
     place = F.when(F.col(value).isNotNull(), F.struct(*cut.order))
     # max_by is null for a range without a value, and the window looks past it.
     latest = cut.summaries(F.max_by(F.col(value), place))
@@ -205,7 +171,7 @@ def last_so_far(
     edges = latest.withColumn(_VALUE, F.last(_VALUE, ignorenulls=True).over(earlier))
     both = cut.with_edges(F.col(value), edges.filter(F.col(_VALUE).isNotNull()))
     window = cut.inside(edge_first=True).rowsBetween(*up_to_here)
-    return cut.finish(both.withColumn(out, F.last(_VALUE, ignorenulls=True).over(window)), out)
+    return cut.finish(both, F.last(_VALUE, ignorenulls=True).over(window), out)
 
 
 def next_value(
@@ -219,9 +185,10 @@ def next_value(
     """Add `value` of the following row of the key, null for its last row."""
     cut = _Ranges(df, keys, order, ranges)
     if not cut.split:
-        return df.withColumn(out, F.lead(value).over(cut.whole()))
+        return cut.finish(df, F.lead(value).over(cut.whole()), out)
     first = cut.summaries(F.min_by(F.col(value), F.struct(*cut.order)))
     edges = first.withColumn(_VALUE, F.lead(_VALUE).over(cut.over_ranges()))
+    # Without a following range there is no edge, so the last row has nothing after it; a null
+    # value of the following row is the same to its reader.
     both = cut.with_edges(F.col(value), edges.filter(F.col(_VALUE).isNotNull()))
-    following = F.lead(_VALUE).over(cut.inside(edge_first=False))
-    return cut.finish(both.withColumn(out, following), out)
+    return cut.finish(both, F.lead(_VALUE).over(cut.inside(edge_first=False)), out)

@@ -56,6 +56,23 @@ def assign_clusters(spark, sf):
     return alloc.assign_clusters(entries, clusters)
 
 
+def hot_key_totals(spark, sf):
+    """Two keys hold the whole table, in an order of text with many ties: cut into ranges."""
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("key"),
+        F.date_format("l_shipdate", "yyyy-MM").alias("month"),
+        F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("part"),
+        F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("source"),
+        F.col("l_quantity").cast("decimal(12,2)").alias("amount"),
+    )
+    # Rows that are equal in all of these columns are one row, so the order is unique.
+    rows = lines.distinct()
+    order = ["month", "job", "part", "item", "source", "amount"]
+    return ordered.sum_before(rows, ["key"], order, "amount", "before", ranges=16).select(
+        "key", "job", "part", "item", "source", F.col("before").cast("double").alias("before")
+    )
+
+
 def _items(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("item"))
 
@@ -155,6 +172,19 @@ QUERIES = {
         select *, bool_or(not nested) over (partition by submission order by i) as drifted
         from j""",
     ),
+    "q_hot_key_totals": (
+        hot_key_totals,
+        """with d as (
+             select distinct l_linestatus as key, strftime(l_shipdate, '%Y-%m') as month,
+                    l_orderkey as job, l_linenumber as part, l_partkey as item, l_suppkey as source,
+                    cast(l_quantity as decimal(12,2)) as amount
+             from lineitem)
+           select key, job, part, item, source,
+                  cast(coalesce(sum(amount) over (partition by key
+                    order by month, job, part, item, source, amount
+                    rows between unbounded preceding and 1 preceding), 0) as double) as before
+           from d""",
+    ),
     "q_chunks": (chunks, _chunk_sql("28") + "select item, chunk from c"),
     "q_chunks_by_size": (
         chunks_by_size,
