@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from fleetframe.operators.ordered import index_within, sum_before
 from fleetframe.session import work_dir
 
-MAX_ROUNDS = 32
-
 
 def _splits(name: Column) -> Column:
     """All ways to read a name as a base followed by a canonical number of up to 18 digits."""
@@ -62,6 +60,13 @@ def _numbered(repeats: DataFrame, blocked: DataFrame) -> DataFrame:
     )
 
 
+def with_default_names(rows: DataFrame, name: str, order: str, prefix: str = "cluster") -> DataFrame:
+    """Rows without a name get the prefix and their 0-based position in the whole order."""
+    placed = index_within(rows, [], order, "_at")
+    filled = F.coalesce(F.col(name), F.concat(F.lit(prefix), F.col("_at").cast("string")))
+    return placed.withColumn(name, filled).drop("_at")
+
+
 def unique_names(
     rows: DataFrame,
     name: str = "name",
@@ -75,11 +80,15 @@ def unique_names(
     The first row of a name, by `order`, keeps it. The others get the name with the least free
     number 0, 1, 2, ... behind it. A number is not free if the result is asked for literally
     by some row, or is the numbered name of a shorter base. With `limit`, running out of numbers
-    below it is an error.
+    below it is an error. Rows without a name keep none: see `with_default_names`.
     """
     spark = rows.sparkSession
     indexed = index_within(rows, [name], order, "_j")
+    # Read by several of the steps below, so written once.
     counts = rows.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("_n"))
+    path = work_dir(spark, "name-counts")
+    counts.write.parquet(path)
+    counts = spark.read.schema(counts.schema).parquet(path)
     bases = counts.filter(F.col("_n") > 1).select(F.col("name").alias("base"))
     literal = _read(counts.select("name"), separator).join(bases, "base", "left_semi")
 
@@ -125,13 +134,14 @@ def unique_names(
 def _settle(spark, repeats: DataFrame, literal: DataFrame, rivals: DataFrame) -> DataFrame:
     """Number the repeats where a shorter base may take names from a longer one.
 
-    After round n all bases that are nested n deep are final; the rounds end when the taken
-    names no longer change. The taken names are written each round, so the plan does not grow.
+    After round n all bases that are nested n deep are final, so there are at most as many rounds
+    as the longest chain of rivals has bases; they end when the taken names no longer change. The
+    taken names are written each round, so the plan does not grow.
     """
     short = rivals.select("base").distinct()
     long = rivals.select(F.col("long").alias("base")).distinct()
-    blocked = literal
-    for _ in range(MAX_ROUNDS):
+    blocked, last = literal, None
+    while True:
         numbered = _numbered(repeats, blocked)
         made = (
             numbered.join(short, "base", "left_semi")
@@ -151,7 +161,7 @@ def _settle(spark, repeats: DataFrame, literal: DataFrame, rivals: DataFrame) ->
         path = work_dir(spark, "taken-names")
         taken.write.parquet(path)
         taken = spark.read.schema("base string, k bigint").parquet(path)
-        if taken.exceptAll(blocked).isEmpty() and blocked.exceptAll(taken).isEmpty():
+        mark = taken.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("base", "k"))).first()
+        if mark == last:
             return numbered
-        blocked = taken
-    raise RuntimeError(f"names nested more than {MAX_ROUNDS} deep")
+        blocked, last = taken, mark

@@ -22,6 +22,14 @@ def unique_names_rivals(spark, sf):
     return names.unique_names(parts.select("p_partkey", name.alias("name")), "name", "p_partkey")
 
 
+def default_names(spark, sf):
+    """Parts of odd size have no name; the others ask for names that defaults may have too."""
+    parts = table(spark, sf, "part")
+    asked = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("cluster"), F.col("p_partkey") % 50))
+    named = names.with_default_names(parts.select("p_partkey", asked.alias("name")), "name", "p_partkey")
+    return names.unique_names(named, "name", "p_partkey", separator="_")
+
+
 def unique_file_keys(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_name")
     return names.unique_names(parts, "p_name", "p_partkey", separator="_")
@@ -109,7 +117,46 @@ from r
 
 QUERIES = {
     "q_unique_names": (unique_names, _NUMBERED.format("")),
-    "q_unique_names_rivals": (unique_names_rivals, None),
+    "q_unique_names_rivals": (
+        unique_names_rivals,
+        # A name is a word with a number of one or two digits. Bases with one digit are numbered
+        # past the names asked for, then those with two past these and past the names taken.
+        """with r as (
+             select p_partkey, string_split(p_name, ' ')[1] || p_size as name,
+                    length(cast(p_size as varchar)) as digits
+             from part
+           ), j as (
+             select *, row_number() over (partition by name order by p_partkey) - 2 as j from r
+           ), n as (select name, digits, count(*) as n from r group by all),
+           c as (select name, digits, unnest(range(n + 110 + (select max(n) from n))) as k from n where n > 1),
+           free1 as (
+             select name, k, row_number() over (partition by name order by k) - 1 as j from c
+             where digits = 1 and name || k not in (select name from n)
+           ), made1 as (
+             select j.p_partkey, j.name, j.name || k as unique_name
+             from j join free1 f on j.name = f.name and j.j = f.j
+           ), free2 as (
+             select name, k, row_number() over (partition by name order by k) - 1 as j from c
+             where digits = 2 and name || k not in (select name from n)
+               and name || k not in (select unique_name from made1)
+           ), made2 as (
+             select j.p_partkey, j.name, j.name || k as unique_name
+             from j join free2 f on j.name = f.name and j.j = f.j
+           )
+           select p_partkey, name, name as unique_name from j where j < 0
+           union all select * from made1 union all select * from made2""",
+    ),
+    "q_default_names": (
+        default_names,
+        """with r as (
+             select p_partkey, coalesce(
+                      case when p_size % 2 = 0 then 'cluster' || (p_partkey % 50) end,
+                      'cluster' || (row_number() over (order by p_partkey) - 1)) as name
+             from part
+           ), j as (select *, row_number() over (partition by name order by p_partkey) - 2 as k from r)
+           select p_partkey, name, case when k < 0 then name else name || '_' || k end as unique_name
+           from j""",
+    ),
     "q_unique_file_keys": (unique_file_keys, _NUMBERED.format("_")),
     "q_param_names": (
         param_names,
