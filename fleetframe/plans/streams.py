@@ -60,15 +60,55 @@ def done_stream(spark, sf):
 
 
 def done_changes(spark, sf):
-    path = work_dir(spark, "changes")
-    query = done.track_changes(
-        done.stream_latest(spark, _tracked(spark, sf)),
-        path,
-        work_dir(spark, "offsets"),
-        availableNow=True,
+    """The events as three files that arrive one after the other, the jobs' changes summed up."""
+    events = _as_status(table(spark, sf, "events"))
+    arrived = work_dir(spark, "arrived")
+    for n in range(3):
+        events.filter(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(arrived)
+    stream = spark.readStream.schema(done.LATEST).option("maxFilesPerTrigger", 1).parquet(arrived)
+    path = work_dir(spark, "latest")
+    done.track_latest(
+        stream, path, work_dir(spark, "offsets"), compact_every=2, availableNow=True
+    ).awaitTermination()
+    return done.done_from_changes(done.changes(spark, path)).select(*DONE)
+
+
+def done_give_up(spark, sf):
+    """A job that has been silent for five days is no longer waited for."""
+    return done.done_from_latest(spark, _tracked(spark, sf), give_up_after=5 * 86400).select(*DONE)
+
+
+def late_bounded(spark, sf):
+    """Events per hour of a stream with a bound on lateness; a later run would drop late ones."""
+    events = late.bounded(_stream(spark, sf).select("event_id", "ts"))
+    hourly = events.groupBy(F.window("ts", "1 hour")).agg(F.count(F.lit(1)).alias("n_events"))
+    path = work_dir(spark, "hourly")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.select(F.col("window.start").alias("hour"), "n_events").write.mode("overwrite").parquet(
+            f"{path}/batch={batch_id}"
+        )
+
+    writer = hourly.writeStream.outputMode("update").option("checkpointLocation", work_dir(spark, "offsets"))
+    writer.trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    # Of an hour the last count stands; counts only grow.
+    counts = spark.read.schema("hour timestamp, n_events bigint, batch int").parquet(path)
+    return counts.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour")).agg(F.max("n_events").alias("n_events"))
+
+
+def follow_logs(spark, sf):
+    """Log files by user, followed while they grow: the odd events are added after a first pass."""
+    events = table(spark, sf, "events").select(
+        F.concat(F.lit("user "), F.col("user_id") % 20, F.lit("+a%b.log")).alias("file"),
+        ((F.col("event_id") % 2) * 1_000_000_000_000 + F.col("event_id")).alias("no"),
+        F.concat("event_type", F.lit(" é "), "event_id").alias("line"),
     )
-    query.awaitTermination()
-    return done.done_from_changes(spark, path).select(*DONE)
+    logs, out = work_dir(spark, "growing"), work_dir(spark, "followed")
+    sinks.write_files(events.filter("no < 1000000000000"), logs)
+    tail.follow(spark, logs, out)
+    sinks.write_files(events, logs)  # the same lines and more behind them
+    tail.follow(spark, logs, out, part_bytes=1000)
+    return tail.followed(spark, out).withColumn("file", F.substring_index("file", "/", -1))
 
 
 def late_stream(spark, sf):
@@ -149,6 +189,35 @@ QUERIES = {
     "q_done_batch": (done_batch, _DONE),
     "q_done_stream": (done_stream, _DONE),
     "q_done_changes": (done_changes, _DONE),
+    "q_done_give_up": (
+        done_give_up,
+        """with s as (
+             select user_id as cluster_id, cast(props ->> '$.k' as int) // 25 as proc_id,
+                    arg_max(event_type, {'t': ts, 'e': event_id}) as kind, max(ts) as last
+             from events group by 1, 2),
+           w as (
+             select cluster_id, kind in ('view', 'click')
+                    and epoch_us((select max(ts) from events)) - epoch_us(last) <= 432000000000 as waits
+             from s)
+           select cluster_id, count(*) as n_jobs, count(*) filter (waits) as n_active,
+                  count(*) filter (waits) = 0 as done
+           from w group by cluster_id""",
+    ),
+    "q_late_bounded": (
+        late_bounded,
+        "select date_trunc('hour', ts) as hour, count(*) as n_events from events group by 1",
+    ),
+    "q_follow_logs": (
+        follow_logs,
+        """with l as (
+             select 'user ' || (user_id % 20) || '+a%b.log' as file, event_id % 2 as part, event_id,
+                    event_type || ' é ' || event_id as line
+             from events)
+           select file, line, cast(coalesce(sum(strlen(line) + 1) over (
+                    partition by file order by part, event_id
+                    rows between unbounded preceding and 1 preceding), 0) as bigint) as position
+           from l""",
+    ),
     "q_late_stream": (
         late_stream,
         """with s as (

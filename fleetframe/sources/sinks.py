@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetframe.sources import folders
+
+OUTPUT_BUCKETS = 64
+
 # What to do when the target exists: fail, renew it, or keep what is there.
 POLICIES = {"fail": "errorifexists", "renew": "overwrite", "keep": "ignore"}
 
@@ -25,17 +33,59 @@ def append_submissions(entries: DataFrame, path: str) -> None:
 
 
 def latest_submission(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of the latest submission; only its folder is scanned."""
-    all_entries = spark.read.option("inferSchema", "false").parquet(path)
-    text = F.col("submission_timestamp").cast("string")
-    entries = all_entries.withColumn("submission_timestamp", text)
-    latest = entries.select(F.max("submission_timestamp")).first()[0]
-    return entries.filter(F.col("submission_timestamp") == F.lit(latest))
+    """Entries of the latest submission; only its folder is opened, the others are just named."""
+    key = "submission_timestamp="
+    latest = max(n for n in folders.names(spark, path) if n.startswith(key))
+    stamp = unquote(latest.removeprefix(key))
+    return spark.read.parquet(f"{path}/{latest}").withColumn("submission_timestamp", F.lit(stamp))
 
 
 def write_output(df: DataFrame, path: str, if_exists: str = "fail") -> None:
-    """Job output, one folder per day, cluster and job."""
-    write_table(df, path, if_exists, ["datestr", "cluster_id", "proc_id"])
+    """Job output, a folder per day and bucket of clusters; inside, rows are sorted by job.
+
+    A folder per job would be as many folders as jobs; a reader of one job gets by with its
+    bucket, `output_bucket`, and the statistics of the sorted files.
+    """
+    bucketed = df.withColumn("bucket", output_bucket(F.col("cluster_id")))
+    by = ["datestr", "bucket"]
+    sorted_ = bucketed.hint("rebalance", *by).sortWithinPartitions(*by, "cluster_id", "proc_id")
+    sorted_.write.mode(POLICIES[if_exists]).partitionBy(*by).parquet(path)
+
+
+def output_bucket(cluster_id: Column) -> Column:
+    return F.pmod(F.xxhash64(cluster_id), F.lit(OUTPUT_BUCKETS)).cast("int")
+
+
+def write_files(rows: DataFrame, folder: str, file: str = "file", order: str = "no", line: str = "line") -> None:
+    """Text files named by a column, with their lines in order; a null line adds nothing.
+
+    A file is written whole by one task, from sorted rows, and replaces one that was there.
+    """
+    target = folder.removeprefix("file://").rstrip("/")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        remote = "://" in target
+        system, root = fs.FileSystem.from_uri(target) if remote else (fs.LocalFileSystem(), target)
+        system.create_dir(root)
+        name, stream, written = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row[file] != name:
+                    if stream:
+                        stream.close()
+                    name = row[file]
+                    stream = system.open_output_stream(f"{root}/{name}")
+                    written.append(name)
+                if row[line] is not None:
+                    stream.write(row[line].encode() + b"\n")
+        if stream:
+            stream.close()
+        yield pa.RecordBatch.from_arrays([pa.array(written, pa.string())], names=["file"])
+
+    sorted_ = rows.select(file, order, line).repartition(file).sortWithinPartitions(file, order)
+    sorted_.mapInArrow(write, "file string").write.format("noop").mode("overwrite").save()
 
 
 def write_chunks(df: DataFrame, path: str, if_exists: str = "fail") -> None:

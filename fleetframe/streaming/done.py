@@ -1,43 +1,86 @@
-"""When is a cluster of jobs done: streams of status events to a per-cluster answer."""
+"""When is a cluster of jobs done: streams of status events to a per-cluster answer.
+
+A stream leaves the latest event of each job and micro-batch in a folder of its own; now and then
+the folders are folded into a base with one row per job. There is no state but these folders, and
+a question reads the base and the batches since.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetframe.functions.status import ACTIVE_STATUSES
 from fleetframe.operators.ledger import JOB, clusters_done
+from fleetframe.sources import folders
 
-CHANGE = "cluster_id bigint, jobs int, active int, lost int"
-COLUMNS = ["cluster_id", "jobs", "active", "lost"]
-JOB_STATE = "status int, micros bigint, event_id bigint"
+LATEST = "cluster_id bigint, proc_id int, status int, ts timestamp, event_id bigint"
+COMPACT_EVERY = 16
 
 
-LATEST = "cluster_id bigint, proc_id int, status int, ts timestamp, event_id bigint"
+def _latest(events: DataFrame) -> DataFrame:
+    event = F.struct("status", "ts", "event_id")
+    return events.groupBy(*JOB).agg(F.max_by(event, F.struct("ts", "event_id")).alias("_e")).select(
+        *JOB, "_e.*"
+    )
 
 
-def track_latest(events: DataFrame, path: str, checkpoint: str, **trigger):
+def track_latest(
+    events: DataFrame, path: str, checkpoint: str, compact_every: int = COMPACT_EVERY, **trigger
+):
     """Write the latest event per job of each micro-batch, a folder per batch.
 
-    A repeated batch replaces its folder. Nothing is kept between batches, so there is no state
-    to grow; partial aggregates are formed before the shuffle, so a cluster or job of any size
+    A repeated batch replaces its folder, or comes after a base that holds it already, where it is
+    not read. Partial aggregates are formed before the shuffle, so a cluster or job of any size
     leaves one row per job and task.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        event = F.struct("status", "ts", "event_id")
-        latest = batch.groupBy(*JOB).agg(F.max_by(event, F.struct("ts", "event_id")).alias("_e"))
-        folder = f"{path}/batch={batch_id}"
-        latest.select(*JOB, "_e.*").write.mode("overwrite").parquet(folder)
+        _latest(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            compact(batch.sparkSession, path)
 
     writer = events.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
     return writer.trigger(**trigger).foreachBatch(write).start()
 
 
+def _parts(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """The newest base and the batches after it, each with its number and folder."""
+    bases = folders.numbers(spark, path, "base")
+    newest = bases[-1] if bases else -1
+    parts = [(newest, f"{path}/base={newest}")] if bases else []
+    later = [n for n in folders.numbers(spark, path, "batch") if n > newest]
+    return parts + [(n, f"{path}/batch={n}") for n in later]
+
+
+def tracked(spark: SparkSession, path: str) -> DataFrame:
+    """The written events that count: of each job the latest one of the base and of each batch."""
+    parts = [folder for _, folder in _parts(spark, path)]
+    if not parts:
+        return spark.createDataFrame([], LATEST)
+    return spark.read.schema(LATEST).parquet(*parts)
+
+
+def compact(spark: SparkSession, path: str) -> None:
+    """Fold all batches into a new base; folders that the base before it had folded go.
+
+    Those that this base folds stay until the next one, for readers that are still at them.
+    """
+    bases = folders.numbers(spark, path, "base")
+    batches = folders.numbers(spark, path, "batch")
+    upto = max(batches, default=-1)
+    if not batches or (bases and upto <= bases[-1]):
+        return
+    _latest(tracked(spark, path)).write.mode("overwrite").parquet(f"{path}/base={upto}")
+    for n in bases[:-1]:
+        folders.remove(spark, f"{path}/base={n}")
+    for n in batches if bases else []:
+        if n <= bases[-1]:
+            folders.remove(spark, f"{path}/batch={n}")
+
+
 def done_from_latest(
     spark: SparkSession, path: str, give_up_after: float | None = None
 ) -> DataFrame:
@@ -46,93 +89,51 @@ def done_from_latest(
     With `give_up_after`, an active job that has been silent for more seconds than that, by the
     newest event seen, is no longer waited for.
     """
-    tracked = spark.read.schema(LATEST).parquet(path)
-    latest = tracked.groupBy(*JOB).agg(
-        F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("ts")
-    )
+    events = tracked(spark, path)
+    latest = _latest(events)
     if give_up_after is not None:
-        newest = tracked.agg(F.max(F.unix_micros("ts"))).scalar()
+        newest = events.agg(F.max(F.unix_micros("ts"))).scalar()
         silent = (newest - F.unix_micros("ts")) / 1e6 > give_up_after
         latest = latest.withColumn("status", F.when(silent, F.lit(None)).otherwise(F.col("status")))
     return clusters_done(latest)
 
 
-def stream_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The written latest events as a stream: one row per job and batch, however hot the job."""
-    return spark.readStream.schema(LATEST).parquet(f"{path}/batch=*")
+def changes(spark: SparkSession, path: str) -> DataFrame:
+    """What each batch since the base changed in a cluster: cluster_id, batch, jobs, active.
 
-
-def _job_change(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
-    """What the new events of one job change in the counts of its cluster."""
-    cluster_id = key[0]
-    if state.hasTimedOut:
-        active = state.get[0] in ACTIVE_STATUSES
-        state.remove()
-        if active:
-            yield pd.DataFrame([(cluster_id, -1, -1, 1)], columns=COLUMNS)
-        return
-    old = state.get if state.exists else None
-    best = old
-    for frame in frames:
-        row = frame.sort_values(["micros", "event_id"]).iloc[-1]
-        seen = (int(row["status"]), int(row["micros"]), int(row["event_id"]))
-        if best is None or seen[1:] > tuple(best[1:]):
-            best = seen
-    state.update(tuple(best))
-    jobs = int(old is None)
-    was = old is not None and old[0] in ACTIVE_STATUSES
-    active = int(best[0] in ACTIVE_STATUSES) - int(was)
-    if jobs or active:
-        yield pd.DataFrame([(cluster_id, jobs, active, 0)], columns=COLUMNS)
-
-
-def track_changes(
-    events: DataFrame,
-    path: str,
-    checkpoint: str,
-    give_up_after: float | None = None,
-    **trigger,
-):
-    """Write, per micro-batch and cluster, how the numbers of jobs and active jobs change.
-
-    `events` is the stream of `stream_latest`, so that the Python side sees one row per job and
-    batch. The state is kept per job, not per cluster, and an event seen twice changes nothing.
-    A job that stays silent for `give_up_after`
-    seconds leaves the state; if it was active it is counted as lost and no longer waited for.
-    The time has to exceed the longest pause of a job, or its return counts as a new job.
+    The base itself comes first, as one change. A job's status after a batch is that of the latest
+    event so far; an event seen twice, or one that comes too late to count, changes nothing.
     """
-    timeout = (
-        GroupStateTimeout.NoTimeout
-        if give_up_after is None
-        else GroupStateTimeout.ProcessingTimeTimeout
+    parts = [
+        spark.read.schema(LATEST).parquet(folder).withColumn("batch", F.lit(n).cast("bigint"))
+        for n, folder in _parts(spark, path)
+    ]
+    if not parts:
+        return spark.createDataFrame([], "cluster_id bigint, batch bigint, jobs bigint, active bigint")
+    so_far = Window.partitionBy(*JOB).orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    event = F.struct("ts", "event_id", "status")
+    before = Window.partitionBy(*JOB).orderBy("batch")
+    states = reduce(DataFrame.unionByName, parts).withColumn("_now", F.max(event).over(so_far))
+    moved = states.withColumn("_was", F.lag("_now").over(before))
+
+    def active(state: str):
+        status = F.col(f"{state}.status")
+        return F.coalesce(status.isin(*ACTIVE_STATUSES), F.lit(False)).cast("int")
+
+    return (
+        moved.groupBy("cluster_id", "batch")
+        .agg(
+            F.sum(F.col("_was").isNull().cast("int")).alias("jobs"),
+            F.sum(active("_now") - active("_was")).alias("active"),
+        )
+        .filter((F.col("jobs") != 0) | (F.col("active") != 0))
     )
 
-    def change(key, frames, state):
-        yield from _job_change(key, frames, state)
-        if give_up_after is not None and state.exists and not state.hasTimedOut:
-            state.setTimeoutDuration(int(give_up_after * 1000))
-
-    spots = events.select(*JOB, "status", F.unix_micros("ts").alias("micros"), "event_id")
-    changes = spots.groupBy(*JOB).applyInPandasWithState(
-        change, CHANGE, JOB_STATE, "update", timeout
-    )
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        sums = [F.sum(c).alias(c) for c in ("jobs", "active", "lost")]
-        folder = f"{path}/batch={batch_id}"
-        batch.groupBy("cluster_id").agg(*sums).write.mode("overwrite").parquet(folder)
-
-    writer = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.trigger(**trigger).foreachBatch(write).start()
-
 
-def done_from_changes(spark: SparkSession, path: str) -> DataFrame:
-    """Per-cluster answer from the written changes: nothing is active any more."""
-    schema = "cluster_id bigint, jobs bigint, active bigint, lost bigint, batch long"
-    changes = spark.read.schema(schema).parquet(path)
-    return changes.groupBy("cluster_id").agg(
+def done_from_changes(changed: DataFrame) -> DataFrame:
+    """Per-cluster answer from the changes: nothing is active any more."""
+    return changed.groupBy("cluster_id").agg(
         F.sum("jobs").alias("n_jobs"),
         F.sum("active").alias("n_active"),
         (F.sum("active") == 0).alias("done"),
-        F.sum("lost").alias("n_lost"),
     )

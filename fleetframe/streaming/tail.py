@@ -1,11 +1,26 @@
-"""Output lines of running jobs as they appear."""
+"""Output lines of running jobs as they appear.
+
+`tail_lines` streams files that are closed when they appear. `follow` takes files that still grow:
+each pass lists them with their lengths, reads on executors what was added since the pass before,
+and writes the new lines and then how far each file has been read, which commits the pass.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetframe.functions.text import log_fields
+from fleetframe.sources import folders
+from fleetframe.sources.lines import plain_path
+from fleetframe.sources.markers import list_files
+
+PART_BYTES = 64 << 20  # of a file that one task reads
+BLOCK = 1 << 20
+LINES = "file string, position bigint, line string, upto bigint"
 
 
 def tail_lines(spark: SparkSession, folder: str, per_trigger: int | None = None) -> DataFrame:
@@ -14,7 +29,8 @@ def tail_lines(spark: SparkSession, folder: str, per_trigger: int | None = None)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     lines = reader.load(folder)
-    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    file = plain_path(F.col("_metadata.file_path")).alias("file")
+    return lines.select(file, F.col("value").alias("line"))
 
 
 def parsed_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -28,3 +44,89 @@ def append_stream(df: DataFrame, path: str, checkpoint: str, **trigger):
     """Append the rows of a stream to a table; the file sink commits each batch once."""
     writer = df.writeStream.format("parquet").outputMode("append")
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
+
+
+def _part_lines(stream, start: int, begin: int, limit: int, stop: int) -> Iterator[tuple[int, bytes]]:
+    """(position, line) of the whole lines that begin in [begin, limit); none reaches past stop."""
+    at = begin if begin == start else begin - 1
+    stream.seek(at)
+    rest, skip = b"", begin != start  # a line that began before this part belongs to the one before
+    offset = at
+    while at < stop:
+        block = stream.read(min(BLOCK, stop - at))
+        if not block:
+            return
+        at += len(block)
+        *whole, rest = (rest + block).split(b"\n")
+        for line in whole:
+            if not skip:
+                if offset >= limit:
+                    return
+                yield offset, line
+            skip = False
+            offset += len(line) + 1
+        if offset >= limit:
+            return
+
+
+def _read_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for part in batch.itertuples():
+            remote = "://" in part.path
+            system, path = fs.FileSystem.from_uri(part.path) if remote else (fs.LocalFileSystem(), part.path)
+            rows = []
+            with system.open_input_file(path) as stream:
+                for position, line in _part_lines(stream, part.start, part.begin, part.limit, part.stop):
+                    text = line.decode(errors="replace")
+                    rows.append((part.path, position, text, position + len(line) + 1))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["file", "position", "line", "upto"])
+                        rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["file", "position", "line", "upto"])
+
+
+def follow(spark: SparkSession, folder: str, out: str, part_bytes: int = PART_BYTES) -> int:
+    """One pass over the growing files of a folder; returns its number.
+
+    A line without its line end is left for a later pass. A file that has become shorter is read
+    from its beginning again. A pass that failed is repeated as a whole.
+    """
+    done = folders.numbers(spark, f"{out}/ends", "pass")
+    number = (done[-1] if done else -1) + 1
+    ends = spark.createDataFrame([], "file string, upto bigint")
+    if done:
+        ends = spark.read.schema("file string, upto bigint").parquet(f"{out}/ends/pass={done[-1]}")
+    ends = ends.withColumnRenamed("upto", "start")
+    # The listing is written, so that the read and the new ends go by the same lengths.
+    seen = f"{out}/seen"
+    list_files(spark, folder).select(F.col("path").alias("file"), "length").write.mode("overwrite").parquet(seen)
+    known = spark.read.schema("file string, length bigint").parquet(seen).join(ends, "file", "left")
+    start = F.when(F.col("start") <= F.col("length"), F.col("start")).otherwise(0).cast("bigint")
+    known = known.withColumn("start", start)
+    added = known.filter(F.col("length") > F.col("start"))
+    cuts = F.sequence(F.col("start"), F.col("length") - 1, F.lit(part_bytes).cast("bigint"))
+    parts = added.select("file", "start", F.col("length").alias("stop"), F.explode(cuts).alias("begin")).select(
+        F.col("file").alias("path"), "start", "begin", "stop",
+        F.least(F.col("begin") + part_bytes, F.col("stop")).alias("limit"),
+    )
+    lines = f"{out}/lines/pass={number}"
+    parts.repartition("path", "begin").mapInPandas(_read_parts, LINES).write.mode("overwrite").parquet(lines)
+    read = spark.read.schema(LINES).parquet(lines).groupBy("file").agg(F.max("upto").alias("upto"))
+    known.join(read, "file", "left").select("file", F.coalesce("upto", "start").alias("upto")).write.mode(
+        "overwrite"
+    ).parquet(f"{out}/ends/pass={number}")
+    for n in done[:-1]:
+        folders.remove(spark, f"{out}/ends/pass={n}")
+    return number
+
+
+def followed(spark: SparkSession, out: str) -> DataFrame:
+    """(file, position, line) of all committed passes; the position, in bytes, orders a file."""
+    done = folders.numbers(spark, f"{out}/ends", "pass")
+    if not done:
+        return spark.createDataFrame([], "file string, position bigint, line string")
+    passes = [n for n in folders.numbers(spark, f"{out}/lines", "pass") if n <= done[-1]]
+    return spark.read.schema(LINES).parquet(*[f"{out}/lines/pass={n}" for n in passes]).drop("upto")
