@@ -34,6 +34,7 @@ BUCKET_BYTES = 12 << 20  # of packed strings in a bucket
 GROWTH = 3.2  # packed bytes for each byte of text
 CHUNK_WORDS = 1 << 17  # hashed at once
 SLAB = 50_000  # strings that are cut into windows at once
+LEVEL = 7  # of compression of what travels
 NEVER = np.iinfo(np.int64).max
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -148,7 +149,7 @@ def _packer(buckets: int):
         bucket = (least >> np.uint64(32)) % np.uint64(buckets)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order].astype(np.int64))) + 1
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=LEVEL)
         out_bucket, out = [], []
         for part in np.split(order, cuts) if len(order) else []:
             body = [
@@ -200,7 +201,9 @@ def window_firsts(strings: list[bytes], low: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _answer(rows: pa.Table) -> pa.Table:
-    """Of each string with a window that an earlier document holds: the sender, the least documents."""
+    """To each sender the strings with a window that an earlier document holds, packed."""
+    import zstandard
+
     lows, highs, tags, senders, strings = [], [], [], [], []
     for sender, packed in zip(rows["sender"].to_pylist(), rows["packed"]):
         low, high, tag, body = _unpacked(packed.as_py())
@@ -217,7 +220,7 @@ def _answer(rows: pa.Table) -> pa.Table:
     single[1:] &= ~same
     single[:-1] &= ~same
     order = order[~(single & (low[order] == high[order]))]
-    out_to, out_string, out_firsts = [], [], []
+    hits: dict[int, tuple[list[bytes], list[np.ndarray]]] = {}
     at = 0
     while at < len(order):
         end = min(len(order), at + SLAB)
@@ -227,18 +230,38 @@ def _answer(rows: pa.Table) -> pa.Table:
         firsts, begin = window_firsts([strings[i] for i in part], low[part])
         useful = firsts < np.repeat(high[part], np.diff(begin))
         for i in np.flatnonzero(np.logical_or.reduceat(useful, begin[:-1])).tolist():
-            out_to.append(sender[part[i]])
-            out_string.append(strings[part[i]])
-            out_firsts.append(firsts[begin[i] : begin[i + 1]])
-    return pa.table({
-        "receiver": pa.array(out_to, pa.int64()), "string": pa.array(out_string, pa.binary()),
-        "firsts": pa.array(out_firsts, pa.list_(pa.int64())),
-    })
+            told = hits.setdefault(int(sender[part[i]]), ([], []))
+            told[0].append(strings[part[i]])
+            told[1].append(firsts[begin[i] : begin[i + 1]])
+    press = zstandard.ZstdCompressor(level=LEVEL)
+    packed = [press.compress(_told(*told)) for told in hits.values()]
+    return pa.table({"receiver": pa.array(list(hits), pa.int64()), "answer": pa.array(packed, pa.binary())})
+
+
+def _told(strings: list[bytes], firsts: list[np.ndarray]) -> bytes:
+    """The strings with the least documents of their windows, of which a string has LONGEST at most."""
+    counts = np.array(list(map(len, firsts)), np.uint8)
+    head = np.array([len(strings)], np.int64).tobytes()
+    return b"".join([head, counts.tobytes(), np.concatenate(firsts).tobytes(), b"\n".join(strings)])
+
+
+def _heard(answers: pa.Table) -> dict[bytes, list[int]]:
+    import zstandard
+
+    press, known = zstandard.ZstdDecompressor(), {}
+    for answer in answers["answer"]:
+        body = press.decompress(answer.as_py())
+        n = int(np.frombuffer(body, np.int64, 1)[0])
+        cuts = np.concatenate([[0], np.cumsum(np.frombuffer(body, np.uint8, n, 8), dtype=np.int64)])
+        firsts = np.frombuffer(body, np.int64, cuts[-1], 8 + n).tolist()
+        strings = body[8 + n + 8 * cuts[-1] :].split(b"\n")
+        known.update((s, firsts[a:b]) for s, a, b in zip(strings, cuts.tolist(), cuts[1:].tolist()))
+    return known
 
 
 def _apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
     ids, texts = _ids(rows["id"]), _texts(rows["text"])
-    known = dict(zip(answers["string"].to_pylist(), answers["firsts"].to_pylist())) if len(answers) else {}
+    known = _heard(answers)
     hits: dict[int, list[int]] = {}
     for runs in super_kmers(texts) if known else ():
         for string, doc, at in zip(runs.strings, runs.doc.tolist(), runs.at.tolist()):
@@ -281,7 +304,7 @@ def without_repeats(
     )
     packed = rows.groupBy("batch").applyInArrow(_packer(buckets), "bucket long, sender long, packed binary")
     answers = packed.groupBy("bucket").applyInArrow(
-        _answer, "receiver long, string binary, firsts array<long>"
+        _answer, "receiver long, answer binary"
     )
     kind = docs.schema[key].dataType.simpleString()
     done = rows.groupBy("batch").cogroup(answers.groupBy("receiver")).applyInArrow(
