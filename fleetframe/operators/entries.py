@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.operators.ordered import index_within, sum_before
@@ -10,40 +12,28 @@ from fleetframe.operators.ordered import index_within, sum_before
 MAX_LEVEL = 20
 
 
-def _level(length: Column) -> Column:
-    """Exponent of the cell width for a range: the least power of two not below its length."""
-    return F.least(F.ceil(F.log2(length.cast("double"))), F.lit(MAX_LEVEL)).cast("int")
-
-
 def cut_entries(
     entries: DataFrame, chunks: DataFrame, file: str = "file", entry: str = "entry_no"
 ) -> DataFrame:
     """Entries with first <= entry_no < last, for every chunk row (chunk, file, first, last).
 
-    A range is laid on cells about as wide as itself, so it touches at most two of them (more
-    only where it is longer than the widest cell). Entries look up their cell once per width in
-    use, which are at most MAX_LEVEL + 1, and an equality join pairs the two. A cell holds at
-    most 2**MAX_LEVEL entries of a file, so a large file spreads over many join keys.
+    Files are laid out in cells about as wide as the mean range, so the ranges touch about three
+    cells each (more only where the mean exceeds the widest cell), and an entry is in one. An
+    equality join on the cell pairs the two; the entries are not unfolded. A cell holds at most
+    2**MAX_LEVEL entries of a file, so a large file spreads over many join keys.
     """
-    ranges = chunks.filter(F.col("last") > F.col("first")).withColumn(
-        "_level", _level(F.col("last") - F.col("first"))
-    )
-    widths = sorted(row["_level"] for row in ranges.select("_level").distinct().collect())
-    if not widths:
-        widths = [0]
+    ranges = chunks.filter(F.col("last") > F.col("first"))
+    mean = ranges.select(F.avg(F.col("last") - F.col("first"))).first()[0] or 1
+    level = min(MAX_LEVEL, math.ceil(math.log2(max(1, mean))))
+
+    def cell(place: str) -> str:
+        return f"shiftright(cast({place} as bigint), {level})"
+
     laid = ranges.withColumn(
-        "_cell",
-        F.explode(
-            F.sequence(
-                F.expr("shiftright(cast(first as bigint), _level)"),
-                F.expr("shiftright(cast(last - 1 as bigint), _level)"),
-            )
-        ),
+        "_cell", F.explode(F.sequence(F.expr(cell("first")), F.expr(cell("last - 1"))))
     )
-    cells = entries.withColumn(
-        "_level", F.explode(F.array(*[F.lit(w) for w in widths]))
-    ).withColumn("_cell", F.expr(f"shiftright(cast({entry} as bigint), _level)"))
-    joined = cells.join(laid.withColumnRenamed("file", file), [file, "_level", "_cell"])
+    placed = entries.withColumn("_cell", F.expr(cell(entry)))
+    joined = placed.join(laid.withColumnRenamed("file", file), [file, "_cell"])
     inside = (F.col(entry) >= F.col("first")) & (F.col(entry) < F.col("last"))
     return joined.filter(inside).select(*entries.columns, "chunk", "first", "last")
 

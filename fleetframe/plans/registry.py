@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from fleetframe.plans import alloc, fanout, lookup, names, status, streams, text, times
+from fleetframe.plans import alloc, fanout, files, lookup, names, status, streams, text, times
 from fleetframe.session import configure
 
-MODULES = (status, alloc, lookup, text, names, times, fanout, streams)
+MODULES = (status, alloc, lookup, text, names, times, fanout, streams, files)
 
 
 def _configured(fn):
