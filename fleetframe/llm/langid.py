@@ -7,7 +7,7 @@ frozen; a text's code length under each language is exact, over the whole text,
 with the shortest code wins.
 
 The trees that go to the executors have a bound: of each order a language keeps its most frequent
-strings, at most NODES / languages of them (at least LEAST_NODES), so the model's size depends on
+strings, at most NODES / languages of them (or LEAST_NODES), so the model's size depends on
 the number of languages and not on the corpus.
 
 Defined results: `und` with score 0 for a text that is null or has no letter, or if nothing could
@@ -182,6 +182,20 @@ class Model:
         return out
 
 
+def _most_frequent(strings: DataFrame, nodes: int) -> DataFrame:
+    """The strings of each language down to the count at which they would be more than `nodes`.
+
+    How many strings have a count is summed first, so that no language is sorted in one task.
+    """
+    sizes = strings.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("many"))
+    down = Window.partitionBy("lang").orderBy(F.col("n").desc())
+    fits = sizes.withColumn("total", F.sum("many").over(down)).where(F.col("total") <= nodes)
+    least = fits.groupBy(F.col("lang").alias("_lang")).agg(F.min("n").alias("least"))
+    # A row per language, which the model has a column for.
+    joined = strings.join(F.broadcast(least), F.col("lang") == F.col("_lang"))
+    return joined.where(F.col("n") >= F.col("least")).select("lang", "key", "n")
+
+
 def trained(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model | None:
     counts = counted(docs, lang, text)
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
@@ -195,9 +209,7 @@ def trained(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model |
         keys = counts.select("lang", F.col("gram").bitwiseAND(F.lit(width)).alias("key"), "n")
         if order > 1:  # a context that is cut off by the text's start is a shorter one
             keys = keys.where(F.shiftright("key", 8 * (order - 1)) != 0xFF)
-        summed = keys.groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        nth = Window.partitionBy("lang").orderBy(F.col("n").desc(), "key")
-        kept = summed.withColumn("_n", F.row_number().over(nth)).where(F.col("_n") <= nodes)
+        kept = _most_frequent(written(keys.groupBy("lang", "key").agg(F.sum("n").alias("n")), "strings"), nodes)
         rows = kept.select(code.cast("int").alias("code"), "key", "n").toPandas()
         unique, at = np.unique(rows["key"].to_numpy(np.int64).astype(np.uint32), return_inverse=True)
         table = np.zeros((len(unique), len(langs)))
