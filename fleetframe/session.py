@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,9 @@ RUNTIME_CONF = {
 }
 
 
+_made: list[str] = []  # by this driver
+
+
 def build_session(app: str = "fleetframe", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -49,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if not re.match(r"local(\[|$)", master):  # local-cluster has executors of its own
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="fleetframe-")
     spark.conf.set("spark.checkpoint.dir", made)
@@ -58,7 +62,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; the first write creates it."""
-    return f"{shared_dir(spark)}/fleetframe/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/fleetframe/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def drop_work(spark: SparkSession) -> None:
+    """Delete what was written below the shared folder, once the results that read it are used."""
+    while _made:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
