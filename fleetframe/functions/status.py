@@ -87,47 +87,48 @@ def flag_names(flags: Column) -> Column:
     return F.array_join(F.transform(flags, lambda flag: F.get(names, flag)), ",")
 
 
-def is_running(flags: Column, status: Column) -> Column:
-    """In the queue and not in an error status, whatever else the status is."""
-    in_error = F.coalesce(status.isin(*ERROR_STATUSES), F.lit(False))
-    return F.array_contains(flags, IN_QUEUE) & ~in_error
+def _rule(queued: Column, in_error: Column, good: Column) -> dict[str, Column]:
+    """The three verdicts and the class a job counts under: good before failed before running.
 
+    A job is running while it is queued and not in an error status. It has failed if it is not
+    running and is in error or without a good exit record.
+    """
+    running = queued & ~in_error
+    failed = ~running & (in_error | ~good)
+    outcome = F.when(good, F.lit("good")).when(failed, F.lit("failed")).otherwise(F.lit("running"))
+    return {"running": running, "failed": failed, "success": good, "outcome": outcome}
 
-def is_failed(flags: Column, status: Column) -> Column:
-    failures = F.array(*[F.lit(flag) for flag in FAILURE_FLAGS])
-    return ~is_running(flags, status) & F.arrays_overlap(flags, failures)
 
-
-def is_success(flags: Column) -> Column:
-    return F.array_contains(flags, GOOD_EXIT)
+def _in_error(status: Column) -> Column:
+    return F.coalesce(status.isin(*ERROR_STATUSES), F.lit(False))
 
 
 def verdicts(status: Column, exitcode: Column) -> dict[str, Column]:
-    """`is_running`, `is_failed`, `is_success` and `outcome` from the evidence itself.
+    """`running`, `failed`, `success` and `outcome` from the evidence itself, in generated code."""
+    good = F.coalesce(exitcode == 0, F.lit(False))
+    return _rule(status.isNotNull(), _in_error(status), good)
 
-    The same answers as over `job_flags`, but plain comparisons that stay in generated code.
-    """
-    in_error = F.coalesce(status.isin(*ERROR_STATUSES), F.lit(False))
-    running = status.isNotNull() & ~in_error
-    success = F.coalesce(exitcode == 0, F.lit(False))
-    failed = ~running & (in_error | ~success)
-    return {
-        "running": running,
-        "failed": failed,
-        "success": success,
-        "outcome": _outcome(success, failed),
-    }
+
+def _of_flags(flags: Column, status: Column) -> dict[str, Column]:
+    good = F.array_contains(flags, GOOD_EXIT)
+    return _rule(F.array_contains(flags, IN_QUEUE), _in_error(status), good)
 
 
-def _outcome(success: Column, failed: Column) -> Column:
-    return (
-        F.when(success, F.lit("good")).when(failed, F.lit("failed")).otherwise(F.lit("running"))
-    )
+def is_running(flags: Column, status: Column) -> Column:
+    """In the queue and not in an error status, whatever else the status is."""
+    return _of_flags(flags, status)["running"]
+
+
+def is_failed(flags: Column, status: Column) -> Column:
+    return _of_flags(flags, status)["failed"]
+
+
+def is_success(flags: Column) -> Column:
+    return F.array_contains(flags, GOOD_EXIT)
 
 
 def outcome(flags: Column, status: Column) -> Column:
-    """Class a job counts under: good before failed before running."""
-    return _outcome(is_success(flags), is_failed(flags, status))
+    return _of_flags(flags, status)["outcome"]
 
 
 def effective_proc_id(resubmitted: Column, recorded: Column) -> Column:

@@ -150,6 +150,28 @@ def index_and_count(
     return _sum_before(cut, F.lit(1).cast("bigint"), out), cut.count
 
 
+def rows_at(df: DataFrame, order: str | list[str], low: int, high: int, out: str = "index") -> DataFrame:
+    """The rows whose index over the whole table lies in [low, high), with the index.
+
+    The sizes of the ranges tell which of them can hold such rows; only these are numbered.
+    """
+    cut = _Ranges(df, [], order, None)
+    sizes = cut.summaries(F.count(F.lit(1)))
+    before = F.sum(_VALUE).over(cut.over_ranges().rowsBetween(Window.unboundedPreceding, -1))
+    met = sizes.withColumn("start", F.coalesce(before, F.lit(0))).filter(
+        (F.col("start") < high) & (F.col("start") + F.col(_VALUE) > low)
+    )
+    starts = {r[_RANGE]: r["start"] for r in met.select(_RANGE, "start").collect()}
+    if not starts:
+        return cut.rows.filter("false").withColumn(out, F.lit(0).cast("bigint")).select(*cut.columns, out)
+    inside = Window.partitionBy(_RANGE).orderBy(*cut.order)
+    start = F.create_map(*[F.lit(v) for pair in starts.items() for v in pair])[F.col(_RANGE)]
+    numbered = cut.rows.filter(F.col(_RANGE).isin(*starts)).withColumn(
+        out, (start + F.row_number().over(inside) - 1).cast("bigint")
+    )
+    return numbered.filter((F.col(out) >= low) & (F.col(out) < high)).select(*cut.columns, out)
+
+
 def last_so_far(
     df: DataFrame,
     keys: list[str],

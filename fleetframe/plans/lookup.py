@@ -59,9 +59,20 @@ def glob(spark, sf):
 
 
 def glob_column(spark, sf):
-    """A pattern of its own per row: a first letter, at least one more, a last letter."""
+    """A pattern of its own per row: a first letter, one of a set, any others, a last letter.
+
+    The set is the second letter, all but it, a range that runs backwards, or never closed.
+    """
     parts = table(spark, sf, "part")
-    pattern = F.concat(F.substring("p_type", 1, 1), F.lit("?*"), F.right("p_name", F.lit(1)))
+    second = F.substring("p_type", 2, 1)
+    member = F.get(
+        F.array(
+            F.concat(F.lit("[*"), second, F.lit("]")), F.concat(F.lit("[!"), second, F.lit("]")),
+            F.lit("[z-a]"), F.lit("["), F.lit("?"),
+        ),
+        (F.col("p_partkey") % 5).cast("int"),
+    )
+    pattern = F.concat(F.substring("p_type", 1, 1), member, F.lit("*"), F.right("p_name", F.lit(1)))
     subject = F.concat("p_type", F.lit(" "), F.reverse("p_name"))
     return parts.select(
         "p_partkey",
@@ -162,6 +173,15 @@ def requirements(spark, sf):
     )
 
 
+def all_requirements(spark, sf):
+    """What a call asks for, then what its session asks for, which some do not."""
+    parts = table(spark, sf, "part")
+    call = F.when(F.col("p_size") % 3 != 0, F.split("p_name", " "))
+    session = F.when(F.col("p_size") % 2 == 0, F.array("p_brand", F.element_at(F.split("p_name", " "), 1)))
+    joined = F.array_join(lookup.concat_requirements(call, session), ",")
+    return parts.select("p_partkey", joined.alias("requirements"))
+
+
 def default_requirements(spark, sf):
     defaults = [("runner==1.0", "auto"), ("red>2", "auto"), ("hot", "auto")]
     return lookup.add_default_requirements(_requirements(spark, sf), defaults, ["cluster"])
@@ -250,9 +270,10 @@ QUERIES = {
     ),
     "q_glob_column": (
         glob_column,
-        """select p_partkey, p_type[1] || '?*' || p_name[-1] as pattern,
-                  starts_with(p_type || ' ' || reverse(p_name), p_type[1])
-                    and length(p_type || ' ' || p_name) >= 3
+        """select p_partkey,
+                  p_type[1] || ['[*' || p_type[2] || ']', '[!' || p_type[2] || ']', '[z-a]', '[', '?'][
+                    p_partkey % 5 + 1] || '*' || p_name[-1] as pattern,
+                  p_partkey % 5 in (0, 4) and length(p_type || ' ' || p_name) >= 3
                     and ends_with(p_type || ' ' || reverse(p_name), p_name[-1]) as hit
            from part""",
     ),
@@ -300,6 +321,14 @@ QUERIES = {
         + """select p_partkey, name || version as package, name, version,
                     version <> '' as has_version from q""",
     ),
+    "q_all_requirements": (
+        all_requirements,
+        """select p_partkey, array_to_string(list_concat(
+                    case when p_size % 3 <> 0 then string_split(p_name, ' ') else [] end,
+                    case when p_size % 2 = 0 then [p_brand, string_split(p_name, ' ')[1]] else [] end), ',')
+                    as requirements
+           from part""",
+    ),
     "q_default_requirements": (
         default_requirements,
         _PACKAGES
