@@ -114,6 +114,22 @@ def resubmit_plan(spark, sf):
     )
 
 
+def effective_ids(spark, sf):
+    """Returned items stand for jobs that replace another; odd lines have recorded their own id."""
+    lines = table(spark, sf, "lineitem")
+    number = F.col("l_linenumber")
+    replaced = F.when(F.col("l_returnflag") == "R", (number + 100).cast("string"))
+    environment = F.map_filter(
+        F.create_map(F.lit(fanout.RESUBMITTED_PROC_ID), replaced), lambda _, v: v.isNotNull()
+    )
+    recorded = F.when(number % 2 == 1, number)
+    return lines.select(
+        F.col("l_orderkey").alias("cluster_id"),
+        number.alias("proc_id"),
+        S.effective_proc_id(fanout.resubmitted_proc_id(environment), recorded).alias("works_as"),
+    )
+
+
 _JOBS = """
 with e as (
   select distinct l_orderkey as cluster_id, l_linenumber as proc_id from lineitem
@@ -195,6 +211,13 @@ QUERIES = {
            from lineitem, (values (1), (2)) as twice(n)
            where l_linestatus = 'O' and l_returnflag = 'A'""",
     ),
+    "q_effective_ids": (
+        effective_ids,
+        """select l_orderkey as cluster_id, l_linenumber as proc_id,
+                  coalesce(case when l_returnflag = 'R' then l_linenumber + 100 end,
+                           case when l_linenumber % 2 = 1 then l_linenumber end, 0) as works_as
+           from lineitem""",
+    ),
     "q_resubmit_plan": (
         resubmit_plan,
         _JOBS
