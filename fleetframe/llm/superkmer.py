@@ -33,6 +33,7 @@ BATCH_BYTES = 6 << 20  # of text in a batch
 BUCKET_BYTES = 12 << 20  # of packed strings in a bucket
 GROWTH = 3.2  # packed bytes for each byte of text
 CHUNK_WORDS = 1 << 17  # hashed at once
+HASHED = 8_000  # strings hashed at once
 SLAB = 50_000  # strings that are cut into windows at once
 LEVEL = 7  # of compression of what travels
 NEVER = np.iinfo(np.int64).max
@@ -155,7 +156,7 @@ def _packer(buckets: int):
             body = [
                 np.array([len(part)], np.int64).tobytes(),
                 np.diff(low[part], prepend=0).tobytes(), (high[part] - low[part]).tobytes(),
-                least[part].astype(np.uint32).tobytes(), b"\n".join([strings[i] for i in part]),
+                b"\n".join([strings[i] for i in part]),
             ]
             out_bucket.append(int(bucket[part[0]]))
             out.append(press.compress(b"".join(body)))
@@ -167,24 +168,42 @@ def _packer(buckets: int):
     return pack
 
 
-def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     import zstandard
 
     body = zstandard.ZstdDecompressor().decompress(packed)
     n = int(np.frombuffer(body, np.int64, 1)[0])
     low = np.cumsum(np.frombuffer(body, np.int64, n, 8))
     high = low + np.frombuffer(body, np.int64, n, 8 + 8 * n)
-    tags = np.frombuffer(body, np.uint32, n, 8 + 16 * n)
-    return low, high, tags, body[8 + 20 * n :].split(b"\n")
+    return low, high, body[8 + 16 * n :].split(b"\n")
 
 
-def window_firsts(strings: list[bytes], low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of every string its least document, and where each string's windows begin."""
-    buffer = b"\n".join(strings)
+def _word_bounds(buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of strings joined by newlines, and each string's first word."""
     data = np.frombuffer(buffer, np.uint8)
     gaps = np.flatnonzero((data == 32) | (data == 10))
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(data)]])
-    words = np.diff(np.concatenate([[0], np.flatnonzero(data[gaps] == 10) + 1, [len(starts)]]))
+    return starts, ends, np.concatenate([[0], np.flatnonzero(data[gaps] == 10) + 1])
+
+
+def minimisers(strings: list[bytes]) -> np.ndarray:
+    """The minimiser of each string's windows, found again from its first window."""
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(strings), HASHED):
+        buffer = b"\n".join(strings[at : at + HASHED])
+        starts, ends, first = _word_bounds(buffer)
+        data = np.frombuffer(buffer, np.uint8).astype(np.uint64)
+        parts = _hash_spans(data, starts[: len(starts) - PART + 1], ends[PART - 1 :])
+        window = np.stack([first, first + WINDOW - PART + 1], 1).ravel()
+        out.append(np.minimum.reduceat(np.append(parts, np.uint64(0)), window)[::2])
+    return np.concatenate(out)
+
+
+def window_firsts(strings: list[bytes], low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every window of every string its least document, and where each string's windows begin."""
+    buffer = b"\n".join(strings)
+    starts, ends, first = _word_bounds(buffer)
+    words = np.diff(np.append(first, len(starts)))
     count = words - WINDOW + 1
     begin = np.concatenate([[0], np.cumsum(count)])
     word = np.repeat(np.cumsum(words) - words - begin[:-1], count) + np.arange(begin[-1])
@@ -204,15 +223,15 @@ def _answer(rows: pa.Table) -> pa.Table:
     """To each sender the strings with a window that an earlier document holds, packed."""
     import zstandard
 
-    lows, highs, tags, senders, strings = [], [], [], [], []
+    lows, highs, senders, strings = [], [], [], []
     for sender, packed in zip(rows["sender"].to_pylist(), rows["packed"]):
-        low, high, tag, body = _unpacked(packed.as_py())
+        low, high, body = _unpacked(packed.as_py())
         lows.append(low)
         highs.append(high)
-        tags.append(tag)
         senders.append(np.full(len(low), sender))
         strings += body
-    low, high, tag, sender = map(np.concatenate, (lows, highs, tags, senders))
+    low, high, sender = map(np.concatenate, (lows, highs, senders))
+    tag = minimisers(strings)
     order = np.argsort(tag, kind="stable")
     sorted_ = tag[order]
     single = np.ones(len(order), bool)
