@@ -141,9 +141,11 @@ def _patterns() -> Column:
 def _free(spans: DataFrame) -> DataFrame:
     """Tokens on which no base span lies: by the ends before and the starts after, in one pass."""
     is_base = F.col("kind") != "token"
-    order = Window.partitionBy("row").orderBy("start", F.when(is_base, 0).otherwise(1))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(1, Window.unboundedFollowing)
+    rank, spans_of = F.when(is_base, 0).otherwise(1), Window.partitionBy("row")
+    # Both look back, one of them from the end: a frame that looks ahead is summed anew each row.
+    earlier = (Window.unboundedPreceding, -1)
+    before = spans_of.orderBy("start", rank).rowsBetween(*earlier)
+    after = spans_of.orderBy(F.col("start").desc(), rank.desc()).rowsBetween(*earlier)
     return (
         spans.withColumn("_end", F.max(F.when(is_base, F.col("end"))).over(before))
         .withColumn("_next", F.min(F.when(is_base, F.col("start"))).over(after))
