@@ -1,0 +1,61 @@
+import awkward
+import corpus_pipeline
+import numpy as np
+
+from fleetframe.llm import near_copies, simhash
+
+
+def brute_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_kept(docs):
+    """The smallest id of each group of texts that links of 0.8 or more connect."""
+    sets = [(i, brute_set(t)) for i, t in docs]
+    root = {i: i for i, _ in docs}
+    for x, (i, a) in enumerate(sets):
+        for j, b in sets[x + 1 :]:
+            if (a == b or 5 * len(a & b) >= 4 * len(a | b)) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    return set(root.values())
+
+
+def edited():
+    """Texts with some words changed, copies in chains, all with a common passage or without one."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 6))
+    passage, texts = [word() for _ in range(30)], []
+    for _ in range(30):
+        base = [word() for _ in range(int(rng.integers(3, 150)))]
+        if rng.random() < 0.5:
+            base = base + passage
+        for _ in range(6):
+            texts.append(" ".join(base))
+            base = list(base)
+            for at in rng.integers(0, len(base), max(1, int(rng.integers(0, 1 + len(base) // 30)))):
+                base[at] = word()
+    texts += ["", " \n", texts[0].upper(), texts[0]]
+    return list(enumerate(texts))
+
+
+def test_stage_finds_all_near_copies(spark, monkeypatch):
+    docs = edited()
+    want = brute_kept(docs)
+    frame = awkward.frame(spark, [(i, t, "en", "src", None) for i, t in docs], clashes=False)
+    assert 40 < len(want) < 120
+    for sample, rows in ((50_000, 200_000), (20, 0)):
+        monkeypatch.setattr(near_copies, "SAMPLE", sample)
+        monkeypatch.setattr(near_copies, "BROADCAST_ROWS", rows)
+        kept = corpus_pipeline.drop_near_copies(spark, frame, None).collect()
+        assert {r.doc_id for r in kept} == want and len(kept) == len(want)
+
+
+def test_near_pair_beyond_four_bits(spark):
+    words = [f"word{i * i % 97}x{i}" for i in range(100)]
+    other = [*words[:50], "changed", *words[51:]]
+    texts = [" ".join(words), " ".join(other)]
+    assert (simhash.simhash(texts[0]) ^ simhash.simhash(texts[1])).bit_count() > 4
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in simhash.one_of_each(frame).collect()] == [0]
