@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetframe.llm import langid, licenses, line_dedup, mixing, packing, pii, quality_rules, simhash, superkmer, topk
+from fleetframe.llm import (
+    conversations, langid, licenses, line_dedup, mixing, packing, pii, quality_rules, simhash, spelling,
+    superkmer, topk, vptree,
+)
 from fleetframe.llm.common import table, written
 
 
@@ -215,6 +218,192 @@ from documents d left join per_doc p on d.doc_id = p.doc_id
 """
 
 
+# The checksum of a list of bytes, bit by bit; 3988292384 is the reversed polynomial.
+def _crc32_sql(data: str) -> str:
+    step = "lambda crc, bit: xor(crc >> 1, 3988292384 * (crc & 1))"
+    byte = f"lambda r, b: list_reduce(list_prepend(xor(r, b), [cast(0 as bigint) for i in range(8)]), {step})"
+    return f"xor(list_reduce(list_prepend(cast(4294967295 as bigint), {data}), {byte}), 4294967295)"
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every long and frequent word with its form, root and near words."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_BYTES = "cast(ord(c) as bigint)"
+OP11_SQL = rf"""
+with runs as (
+    select doc_id, run, count(*) as n from (
+        select doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+'
+        )) as run from documents
+    ) where length(run) >= 6 group by doc_id, run
+),
+bytes as (
+    select doc_id, run, n, flatten([
+        case when ord(c) < 128 then [{_BYTES}] else [192 + ({_BYTES} >> 6), 128 + ({_BYTES} & 63)] end
+        for c in string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, '')
+    ]) as b from runs
+),
+summed as (select run, n, {_crc32_sql("b")} as h from bytes),
+slipped as (
+    select case when h % 199 <> 0 then run
+        else substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) end as word, n
+    from summed
+),
+words as (
+    select word, cast(sum(n) as bigint) as n from slipped where length(word) >= 6
+    group by word having sum(n) >= 5
+),
+cut as (
+    select word, n, unnest([substr(word, 1, i) || substr(word, i + 2) for i in range(length(word))]) as stem from words
+),
+stems as (select distinct word, n, stem from cut union select word, n, word from words),
+near as (
+    select distinct a.word, b.word as other, b.n from stems a join stems b on a.stem = b.stem and a.word <> b.word
+    where levenshtein(a.word, b.word) = 1
+),
+told as (select word, count(*) as n_near, min((-n, other)) as best from near group by word),
+formed as (
+    select w.word, w.n, coalesce(n_near, 0) as n_near,
+        case when -best[1] >= 5 * w.n then best[2] end as form, case when -best[1] >= 5 * w.n then -best[1] end as form_n
+    from words w left join told t on w.word = t.word
+),
+steps as (
+    with recursive walk(word, root) as (
+        select word, word from formed
+        union all
+        select walk.word, f.form from walk join formed f on f.word = walk.root where f.form is not null
+    )
+    select walk.word, walk.root from walk join formed f on f.word = walk.root where f.form is null
+)
+select f.word, f.form, s.root, f.n, cast(f.n_near as bigint) as n_near, cast(f.form_n as bigint) as form_n
+from formed f join steps s on f.word = s.word
+"""
+
+
+def op12_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every hundredth vector."""
+    return vptree.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by rule, with its faults and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = conversations.repaired(conversations.damaged(rows)).withColumnRenamed("conv_id", "c")
+    every = rows.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    empty = {n: F.coalesce(n, F.lit(0)) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    empty |= {"audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256))}
+    return every.select("conv_id", *[c.alias(n) for n, c in empty.items()])
+
+
+def _op13_sql() -> str:
+    """One pass over a conversation's rows keeps, for each state, the least cost and audit and what
+    they leave, as one string that sorts by cost and then audit: six digits, the audit, a tab, the
+    repaired rows in a code of their numbers."""
+    fields = ("z", "s", "u", "a")
+
+    def plus(state: str, cost: str, letter: str, put: str = "''") -> str:
+        return (
+            f"(printf('%06d', cast({state}[1:6] as int) + {cost}) || split_part({state}[7:], chr(9), 1) || '{letter}'"
+            f" || chr(9) || split_part({state}, chr(9), 2) || {put})"
+        )
+
+    def inserted(x: str) -> dict[str, str]:
+        """Each state before a row, an insertion before it allowed."""
+        user, helper = "'i0;'", "'j0;'"
+        return {
+            "z": f"{x}.z", "s": f"{x}.s",
+            "u": f"least({x}.u, {plus(x + '.z', '2', 'I', user)}, {plus(x + '.s', '2', 'I', user)}, {plus(x + '.a', '2', 'I', user)})",
+            "a": f"least({x}.a, {plus(x + '.u', '2', 'I', helper)})",
+        }
+
+    def passed(x: str, r: str) -> str:
+        stay, extra = f"{r}.code <> '-'", f"{r}.late"
+        kept, as_user, as_helper = (f"('{k}' || {r}.pos || ';')" for k in "kuh")
+        into = {
+            "z": [], "s": [(f"{x}.z", "s")], "u": [(f"{x}.z", "u"), (f"{x}.s", "u"), (f"{x}.a", "u")],
+            "a": [(f"{x}.u", "a")],
+        }
+        out = []
+        for state in fields:
+            ways = [plus(f"{x}.{state}", "3", "D")]
+            for before, initial in into[state]:
+                ways.append(f"case when {r}.code = '{initial}' then {plus(before, extra, 'K', kept)} end")
+            if state == "u":
+                ways += [f"case when {stay} then {plus(f'{x}.{b}', f'2 + {extra}', 'R', as_user)} end" for b in "zsa"]
+            if state == "a":
+                ways.append(f"case when {stay} then {plus(f'{x}.u', f'2 + {extra}', 'R', as_helper)} end")
+            out.append(f"'{state}': least({', '.join(ways)})" if len(ways) > 1 else f"'{state}': {ways[0]}")
+        return "{'code': '', 'late': 0, 'pos': 0, " + ", ".join(out) + "}"
+
+    def opened(x: str) -> str:
+        return "{'code': '', 'late': 0, 'pos': 0, " + ", ".join(f"'{k}': {v}" for k, v in inserted(x).items()) + "}"
+
+    null = ", ".join(f"'{f}': cast(null as varchar)" for f in fields)
+    # Every row stands twice in the list: once to insert before it, once to pass it. Two insertions
+    # in a row never pay: they lead back to the state before, or past a system row that costs less to delete.
+    return rf"""
+with told as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        [cast(ord(c) as bigint) for c in string_split(
+            coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' '), '')] as b
+    from conversations
+),
+marked as (select *, {_crc32_sql("b")} % 20 as kind from told),
+rows as (
+    select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+        case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+        unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+    from marked where kind <> 0
+),
+placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as pos,
+        rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as seen
+    from rows
+),
+faulty as (
+    select *, case when seen = '' then 'blank'
+        when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate'
+        when right(seen, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+        lag(role[1]) over (partition by conv_id order by pos) || role[1] as pair
+    from placed
+),
+listed as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+        count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+        count(*) filter (fault = 'truncated') as truncated,
+        count(*) filter (pair not in ('su', 'ua', 'au')) as illegal, list(role order by pos) as roles,
+        list(text order by pos) as texts,
+        list({{'code': case when fault in ('blank', 'duplicate') then '-' else role[1] end,
+            'late': cast(fault = 'truncated' as int), 'pos': cast(pos as int), {null}}} order by pos) as steps
+    from faulty group by conv_id
+),
+walked as (
+    select *, list_reduce(
+        list_append(list_prepend({{'code': '', 'late': 0, 'pos': 0, 'z': '000000' || chr(9), 's': cast(null as varchar),
+            'u': cast(null as varchar), 'a': cast(null as varchar)}},
+            flatten([[{{'code': '+', 'late': 0, 'pos': 0, {null}}}, r] for r in steps])),
+            {{'code': '+', 'late': 0, 'pos': 0, {null}}}),
+        lambda x, r: case when r.code = '+' then {opened("x")} else {passed("x", "r")} end
+    ) as last from listed
+),
+best as (select *, least(last.z, last.a) as path from walked),
+repaired as (
+    select *, [case p[1] when 'i' then 'user:' when 'j' then 'assistant:'
+        when 'k' then roles[cast(p[2:] as int)] || ':' || texts[cast(p[2:] as int)]
+        when 'u' then 'user:' || texts[cast(p[2:] as int)] else 'assistant:' || texts[cast(p[2:] as int)] end
+        for p in string_split(rtrim(split_part(path, chr(9), 2), ';'), ';') if p <> ''] as lines
+    from best
+)
+select c.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank,
+    coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+    cast(coalesce(cast(path[1:6] as int), 0) as bigint) as cost, coalesce(split_part(path[7:], chr(9), 1), '') as audit,
+    sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join repaired r on c.conv_id is not distinct from r.conv_id
+"""
+
+
 QUERIES = {
     "op1_best_fit_packing": (op1_best_fit_packing, None),
     "op2_source_mixing": (op2_source_mixing, None),
@@ -226,6 +415,9 @@ QUERIES = {
     "op8_language_id": (op8_language_id, None),
     "op9_simhash": (op9_simhash, None),
     "op10_license_scan": (op10_license_scan, _op10_sql()),
+    "op11_spelling_variants": (op11_spelling_variants, OP11_SQL),
+    "op12_approximate_neighbours": (op12_approximate_neighbours, None),
+    "op13_conversation_repair": (op13_conversation_repair, _op13_sql()),
 }
 
 
