@@ -47,12 +47,9 @@ def done_batch(spark, sf):
 
 
 def _tracked(spark, sf) -> str:
-    path = work_dir(spark, "latest")
-    query = done.track_latest(
-        _as_status(_stream(spark, sf)), path, work_dir(spark, "offsets"), availableNow=True
-    )
-    query.awaitTermination()
-    return path
+    checkpoint = work_dir(spark, "latest")
+    done.track_latest(_as_status(_stream(spark, sf)), checkpoint, availableNow=True).awaitTermination()
+    return checkpoint
 
 
 def done_stream(spark, sf):
@@ -60,17 +57,13 @@ def done_stream(spark, sf):
 
 
 def done_changes(spark, sf):
-    """The events as three files that arrive one after the other, the jobs' changes summed up."""
+    """The events as files that arrive one after the other, the jobs' changes summed up."""
     events = _as_status(table(spark, sf, "events"))
-    arrived = work_dir(spark, "arrived")
-    for n in range(3):
-        events.filter(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(arrived)
+    arrived, checkpoint = work_dir(spark, "arrived"), work_dir(spark, "latest")
+    events.repartitionByRange(3, F.col("event_id") % 3).write.parquet(arrived)
     stream = spark.readStream.schema(done.LATEST).option("maxFilesPerTrigger", 1).parquet(arrived)
-    path = work_dir(spark, "latest")
-    done.track_latest(
-        stream, path, work_dir(spark, "offsets"), compact_every=2, availableNow=True
-    ).awaitTermination()
-    return done.done_from_changes(done.changes(spark, path)).select(*DONE)
+    done.track_latest(stream, checkpoint, availableNow=True).awaitTermination()
+    return done.done_from_changes(done.changes(spark, checkpoint)).select(*DONE)
 
 
 def done_give_up(spark, sf):
@@ -97,18 +90,22 @@ def late_bounded(spark, sf):
 
 
 def follow_logs(spark, sf):
-    """Log files by user, followed while they grow: the odd events are added after a first pass."""
+    """Log files by user, streamed while they grow: the odd events are added while the stream runs."""
     events = table(spark, sf, "events").select(
         F.concat(F.lit("user "), F.col("user_id") % 20, F.lit("+a%b.log")).alias("file"),
         ((F.col("event_id") % 2) * 1_000_000_000_000 + F.col("event_id")).alias("no"),
         F.concat("event_type", F.lit(" é "), "event_id").alias("line"),
     )
-    logs, out = work_dir(spark, "growing"), work_dir(spark, "followed")
+    logs, out, checkpoint = (work_dir(spark, n) for n in ("growing", "followed", "offsets"))
+
     sinks.write_files(events.filter("no < 1000000000000"), logs)
-    tail.follow(spark, logs, out)
+    lines = tail.growing_lines(spark, logs, "*.log", part_bytes=100_000)
+    query = tail.append_stream(lines, out, checkpoint, processingTime="0 seconds")
+    query.processAllAvailable()
     sinks.write_files(events, logs)  # the same lines and more behind them
-    tail.follow(spark, logs, out, part_bytes=1000)
-    return tail.followed(spark, out).withColumn("file", F.substring_index("file", "/", -1))
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.schema(tail.LINES).parquet(out).withColumn("file", F.substring_index("file", "/", -1))
 
 
 def late_stream(spark, sf):

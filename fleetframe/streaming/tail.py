@@ -1,26 +1,32 @@
 """Output lines of running jobs as they appear.
 
-`tail_lines` streams files that are closed when they appear. `follow` takes files that still grow:
-each pass lists them with their lengths, reads on executors what was added since the pass before,
-and writes the new lines and then how far each file has been read, which commits the pass.
+`tail_lines` streams files that are closed when they appear. `growing_lines` streams files that still
+grow, through a data source of its own: the offset of a batch says how far each file is read, always up
+to the end of a line, and a batch reads the bytes between two offsets in parts, a task each. The
+engine's checkpoint keeps the offsets, so a batch that failed or a query that is started again reads
+the same bytes, and every line comes once.
 """
 
 from __future__ import annotations
 
+import fnmatch
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from fleetframe.functions.text import log_fields
-from fleetframe.sources import folders
+from fleetframe.sources import places
 from fleetframe.sources.lines import plain_path
-from fleetframe.sources.markers import list_files
 
 PART_BYTES = 64 << 20  # of a file that one task reads
 BLOCK = 1 << 20
-LINES = "file string, position bigint, line string, upto bigint"
+LINES = "file string, position bigint, line string"
+BATCH = 10_000  # lines handed on at once
+LOOKING = 16  # files looked into at a time for the end of their last line
 
 
 def tail_lines(spark: SparkSession, folder: str, per_trigger: int | None = None) -> DataFrame:
@@ -69,64 +75,99 @@ def _part_lines(stream, start: int, begin: int, limit: int, stop: int) -> Iterat
             return
 
 
-def _read_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+class _Part(InputPartition):
+    """Bytes of a file: the lines that begin in [begin, limit), none beyond stop."""
+
+    def __init__(self, file: str, start: int, begin: int, limit: int, stop: int):
+        self.file, self.start, self.begin, self.limit, self.stop = file, start, begin, limit, stop
+
+
+class _GrowingReader(DataSourceStreamReader):
+    def __init__(self, options: dict[str, str]):
+        self.folder = options["path"]
+        self.glob = options.get("glob", "*")
+        self.part = int(options.get("partBytes", PART_BYTES))
+        self.known: dict[str, tuple[int, int]] = {}  # length and end of the last whole line
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def _ended(self, name: str, length: int) -> int:
+        """Where the last whole line ends, looked for from the back."""
+        old, least = self.known.get(name, (0, 0))
+        if length == old:
+            return least
+        least = least if length > old else 0
+        system, root = places.opened(self.folder)
+        with system.open_input_file(f"{root}/{name}") as stream:
+            at = length
+            while at > least:
+                begin = max(least, at - BLOCK)
+                stream.seek(begin)
+                found = stream.read(at - begin).rfind(b"\n")
+                if found >= 0:
+                    return begin + found + 1
+                at = begin
+        return least
+
+    def latestOffset(self) -> dict:
+        seen = {n: size for n, size in places.entries(self.folder) if fnmatch.fnmatchcase(n, self.glob)}
+        with ThreadPoolExecutor(LOOKING) as pool:
+            ends = pool.map(self._ended, seen, seen.values())
+            self.known = {n: (size, end) for (n, size), end in zip(seen.items(), ends)}
+        return {n: end for n, (_, end) in sorted(self.known.items()) if end}
+
+    def partitions(self, start: dict, end: dict) -> list[_Part]:
+        parts = []
+        for name, stop in end.items():
+            first = start.get(name, 0)
+            first = first if first <= stop else 0  # a file that has become shorter is a new one
+            for begin in range(first, stop, self.part):
+                parts.append(_Part(name, first, begin, min(begin + self.part, stop), stop))
+        return parts
+
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        p = partition
+        system, root = places.opened(self.folder)
+        path, found = f"{self.folder}/{p.file}", []
+        with system.open_input_file(f"{root}/{p.file}") as stream:
+            for position, line in _part_lines(stream, p.start, p.begin, p.limit, p.stop):
+                found.append((position, line.decode(errors="replace")))
+                if len(found) == BATCH:
+                    yield _line_batch(path, found)
+                    found = []
+        if found:
+            yield _line_batch(path, found)
+
+
+def _line_batch(path: str, found: list[tuple[int, str]]) -> pa.RecordBatch:
+    position, line = zip(*found)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([path] * len(found)), pa.array(position, pa.int64()), pa.array(line, pa.string())],
+        names=["file", "position", "line"],
+    )
+
+
+class GrowingFiles(DataSource):
+    """Whole lines of the files that a folder holds, as they appear."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "growing_files"
+
+    def schema(self) -> str:
+        return LINES
 
-    for batch in batches:
-        for part in batch.itertuples():
-            remote = "://" in part.path
-            system, path = fs.FileSystem.from_uri(part.path) if remote else (fs.LocalFileSystem(), part.path)
-            rows = []
-            with system.open_input_file(path) as stream:
-                for position, line in _part_lines(stream, part.start, part.begin, part.limit, part.stop):
-                    text = line.decode(errors="replace")
-                    rows.append((part.path, position, text, position + len(line) + 1))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["file", "position", "line", "upto"])
-                        rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["file", "position", "line", "upto"])
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _GrowingReader(dict(self.options))
 
 
-def follow(spark: SparkSession, folder: str, out: str, part_bytes: int = PART_BYTES) -> int:
-    """One pass over the growing files of a folder; returns its number.
+def growing_lines(spark: SparkSession, folder: str, glob: str = "*", part_bytes: int = PART_BYTES) -> DataFrame:
+    """Stream of (file, position, line) from files that grow; the position, in bytes, orders a file.
 
-    A line without its line end is left for a later pass. A file that has become shorter is read
-    from its beginning again. A pass that failed is repeated as a whole.
+    A line without its line end is left for a later batch. A file that has become shorter is read
+    from its beginning again.
     """
-    done = folders.numbers(spark, f"{out}/ends", "pass")
-    number = (done[-1] if done else -1) + 1
-    ends = spark.createDataFrame([], "file string, upto bigint")
-    if done:
-        ends = spark.read.schema("file string, upto bigint").parquet(f"{out}/ends/pass={done[-1]}")
-    ends = ends.withColumnRenamed("upto", "start")
-    # The listing is written, so that the read and the new ends go by the same lengths.
-    seen = f"{out}/seen"
-    list_files(spark, folder).select(F.col("path").alias("file"), "length").write.mode("overwrite").parquet(seen)
-    known = spark.read.schema("file string, length bigint").parquet(seen).join(ends, "file", "left")
-    start = F.when(F.col("start") <= F.col("length"), F.col("start")).otherwise(0).cast("bigint")
-    known = known.withColumn("start", start)
-    added = known.filter(F.col("length") > F.col("start"))
-    cuts = F.sequence(F.col("start"), F.col("length") - 1, F.lit(part_bytes).cast("bigint"))
-    parts = added.select("file", "start", F.col("length").alias("stop"), F.explode(cuts).alias("begin")).select(
-        F.col("file").alias("path"), "start", "begin", "stop",
-        F.least(F.col("begin") + part_bytes, F.col("stop")).alias("limit"),
-    )
-    lines = f"{out}/lines/pass={number}"
-    parts.repartition("path", "begin").mapInPandas(_read_parts, LINES).write.mode("overwrite").parquet(lines)
-    read = spark.read.schema(LINES).parquet(lines).groupBy("file").agg(F.max("upto").alias("upto"))
-    known.join(read, "file", "left").select("file", F.coalesce("upto", "start").alias("upto")).write.mode(
-        "overwrite"
-    ).parquet(f"{out}/ends/pass={number}")
-    for n in done[:-1]:
-        folders.remove(spark, f"{out}/ends/pass={n}")
-    return number
-
-
-def followed(spark: SparkSession, out: str) -> DataFrame:
-    """(file, position, line) of all committed passes; the position, in bytes, orders a file."""
-    done = folders.numbers(spark, f"{out}/ends", "pass")
-    if not done:
-        return spark.createDataFrame([], "file string, position bigint, line string")
-    passes = [n for n in folders.numbers(spark, f"{out}/lines", "pass") if n <= done[-1]]
-    return spark.read.schema(LINES).parquet(*[f"{out}/lines/pass={n}" for n in passes]).drop("upto")
+    spark.dataSource.register(GrowingFiles)
+    reader = spark.readStream.format(GrowingFiles.name()).option("glob", glob)
+    return reader.option("partBytes", part_bytes).load(places.qualified(spark, folder))
