@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetframe.llm import near_copies
 from fleetframe.llm.common import text_hashes, whole_row, written
 from fleetframe.llm.graph import components
 
@@ -197,19 +196,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near copies: of each group of them the row with the smallest id stays.
+    """The documents without near copies: of each component the row with the smallest id stays.
 
-    Near copies are texts with a five-word Jaccard coefficient of 0.8 or more, and what they link;
-    most such pairs differ in more bits than the query's budget.
     Null ids come last; equal ids are told apart by their texts, and of repeated rows one stays.
     """
     h1, h2 = text_hashes(text)
-    sketches = near_copies.sketched(docs, key, text)
-    prints = sketches.groupBy("late", "id", "h1", "h2", "node").agg(F.count(F.lit(1)).alias("copies"))
-    roots = written(near_copies.grouped(docs, sketches, text), "roots")
+    prepared = docs.select(
+        F.col(key).isNull().alias("late"), F.col(key).alias("id"), h1.alias("h1"), h2.alias("h2"),
+        fingerprint(F.col(text)).alias("bits"),
+    )
+    prints = written(
+        prepared.groupBy("late", "id", "h1", "h2", "bits").agg(F.count(F.lit(1)).alias("copies")),
+        "bits",
+    )
+    roots = written(grouped(prints), "roots")
     first = F.min(F.struct("late", "id", "h1", "h2", "copies")).alias("first")
-    by_node = prints.groupBy("node").agg(first)
-    kept = roots.join(by_node, "node").groupBy("root").agg(F.min("first").alias("first"))
+    by_bits = prints.groupBy("bits").agg(first)
+    kept = roots.join(by_bits, "bits").groupBy("root").agg(F.min("first").alias("first"))
     own = docs.select(
         whole_row(docs).alias("doc"), F.col(key).alias("own"), h1.alias("t1"), h2.alias("t2")
     )
