@@ -28,6 +28,7 @@ MOST = 2.0  # times a source's own size
 SEED = 17
 RESERVE = 1 << 15  # words of a budget that the proportional pass leaves to the knapsack
 SPAN = 1 << 17  # sums that the knapsack tells apart; a larger rest is fitted in coarser units
+ROW = ("doc_id", "source", "text")
 RANK_ROWS = 1_000_000  # rows of one source and length that one task numbers
 
 
@@ -139,14 +140,15 @@ def _fit_source(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = SEED, row: tuple[str, ...] = ROW) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken for every row of (doc_id, text, source).
 
-    `draw` is the hash that orders the row; copies is how often the mix holds it: 0, 1 or 2.
+    `draw` is the hash of the columns `row` that orders the rows; copies is how often the mix holds
+    a row: 0, 1 or 2.
     """
     sized = written(
         docs.select(
-            "doc_id", "source", word_count(F.col("text")).alias("size"), draw(seed).alias("draw")
+            "doc_id", "source", word_count(F.col("text")).alias("size"), draw(seed, row).alias("draw")
         ),
         "sizes",
     )
@@ -180,18 +182,19 @@ def mixed(docs: DataFrame, seed: int = SEED) -> DataFrame:
     )
 
 
-def draw(seed: int = SEED) -> Column:
-    return F.xxhash64(F.lit(seed), "doc_id", "source", "text")
+def draw(seed: int = SEED, row: tuple[str, ...] = ROW) -> Column:
+    return F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in row])
 
 
 def mixture(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The rows of the mix themselves, a document as often as it is taken."""
-    shares = mixed(docs.select("doc_id", "text", "source"), seed)
-    # Repeated rows share a draw: the rows of one draw are one row with the sum of their copies.
+    # Rows that are equal in all columns share a draw: they are one row with the sum of their copies.
+    whole = (*ROW, *sorted(set(docs.columns) - set(ROW)))
+    shares = mixed(docs, seed, whole)
     by_draw = shares.groupBy(F.col("draw").alias("_draw"), F.col("doc_id").alias("_id")).agg(
         F.sum("copies").cast("int").alias("_copies"), F.count(F.lit(1)).alias("_rows")
     )
-    held = docs.select(whole_row(docs).alias("_doc"), "doc_id", draw(seed).alias("_own"))
+    held = docs.select(whole_row(docs).alias("_doc"), "doc_id", draw(seed, whole).alias("_own"))
     wanted = (F.col("_own") == F.col("_draw")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     taken = held.join(by_draw.where("_copies > 0").hint("merge"), wanted)
     once = taken.where("_rows = 1").unionByName(
