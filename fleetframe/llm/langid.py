@@ -6,13 +6,15 @@ down to a uniform code. The statistics are counted over all training documents b
 frozen; a text's code length under each language is exact, over the whole text, and the language
 with the shortest code wins.
 
-The trees that go to the executors have a bound: of each order a language keeps its most frequent
-strings, at most NODES / languages of them (or LEAST_NODES), so the model's size depends on
-the number of languages and not on the corpus.
+No string is left out, however many there are. A byte's code length depends only on strings whose last
+byte but one is the byte before it, so the trees are cut into parts by that byte, of about PART_STRINGS
+strings each. One part at a time passes through the driver and is held by a task, which adds up what
+the positions of its texts cost under each part.
 
 Defined results: `und` with score 0 for a text that is null or has no letter, or if nothing could
 be learned. Null texts and null languages are not learned from. Ties go to the smallest name.
-Repeated rows count and are predicted each.
+Repeated rows count and are predicted each. An empty table gives an empty table. Very long texts are
+scored whole, in stretches. Other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,15 +24,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetframe.llm.common import written
 
 ORDERS = 4  # of strings: a context of three bytes and the byte that follows
-NODES = 1 << 18
-LEAST_NODES = 2048
+PART_STRINGS = 1 << 20  # wanted strings of four bytes in a part; a byte's strings stay together
 CHUNK = 1 << 18  # bytes scored at once
 UNKNOWN = "und"
 
@@ -121,119 +122,135 @@ class _Index:
 
 
 class Model:
-    """Code lengths in bits, a column per language; row 0 of each order stands for an unknown."""
+    """One part of the trees: code lengths in bits, a column per language.
 
-    def __init__(self, langs: list[str], grams: dict[int, tuple[np.ndarray, np.ndarray]]):
-        """`grams` has for each order the sorted strings and their counts per language."""
-        self.langs = langs
+    Row 0 of each order stands for a string, or a context, that is not known.
+    """
+
+    def __init__(self, langs: list[str], part: np.ndarray, grams: dict[int, tuple[np.ndarray, np.ndarray]]):
+        """`part` tells which bytes before a position are of this part; `grams` has for each order the
+        sorted strings and their counts per language."""
+        self.langs, self.part = langs, part
         self.index = {o: _Index(keys) for o, (keys, _) in grams.items()}
+        self.context: dict[int, _Index] = {}
         self.cost: dict[int, np.ndarray] = {}
         self.escape: dict[int, np.ndarray] = {}
         for order in range(1, ORDERS + 1):
             keys, counts = grams[order]
-            context = self.index[order - 1](keys >> np.uint32(8)) if order > 1 else np.zeros(len(keys), int)
-            size = len(grams[order - 1][0]) + 1 if order > 1 else 1
-            total, kinds = np.zeros((size, len(langs))), np.zeros((size, len(langs)))
-            np.add.at(total, context, counts)
-            np.add.at(kinds, context, counts > 0)
-            if order > 1:
-                total[0], kinds[0] = 0, 0
+            own = keys >> np.uint32(8) if order > 1 else np.zeros(len(keys), np.uint32)
+            contexts, at = np.unique(own, return_inverse=True)
+            total, kinds = (np.zeros((len(contexts) + 1, len(langs))) for _ in range(2))
+            np.add.at(total, at + 1, counts)
+            np.add.at(kinds, at + 1, counts > 0)
             seen = np.maximum(total, 1) + kinds
-            self.escape[order - 1] = np.where(total > 0, np.log2(seen / np.maximum(kinds, 1)), 0).astype(np.float32)
+            self.context[order] = _Index(contexts)
+            self.escape[order] = np.where(total > 0, np.log2(seen / np.maximum(kinds, 1)), 0)
             with np.errstate(divide="ignore"):
-                own = np.log2(seen[context] / counts)
-            lower = self._lower(order, keys)
-            # A string whose context was not kept is known by its count alone no better than below.
-            known = (counts > 0) & (total[context] > 0)
-            self.cost[order] = np.concatenate(
-                [np.zeros((1, len(langs))), np.where(known, own, lower)]
-            ).astype(np.float32)
+                known = np.log2(seen[at + 1] / counts)
+            every = np.where(counts > 0, known, self._lower(order, keys))
+            self.cost[order] = np.concatenate([np.zeros((1, len(langs))), every])
 
     def _lower(self, order: int, keys: np.ndarray) -> np.ndarray:
         """The code length of a string's last byte without its whole context: escape, then shorter."""
         if order == 1:
-            return self.escape[0][np.zeros(len(keys), int)] + np.float32(8)
-        context = self.index[order - 1](keys >> np.uint32(8))
+            return self.escape[1][self.context[1](np.zeros(len(keys), np.uint32))] + 8
+        context = self.context[order](keys >> np.uint32(8))
         shorter = keys & np.uint32((1 << 8 * (order - 1)) - 1)
         found = self.index[order - 1](shorter)
         below = self.cost[order - 1][found]
         unknown = found == 0
         if unknown.any():
             below[unknown] = self._lower(order - 1, shorter[unknown])
-        return self.escape[order - 1][context] + below
+        return self.escape[order][context] + below
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """The code length of each text under each language."""
+        """What this part adds to the code length of each text under each language."""
         starts = np.cumsum([0] + [len(t) + 3 for t in texts])
         data = np.frombuffer(b"".join(_START + t for t in texts), np.uint8)
         out = np.zeros((len(texts), len(self.langs)))
         for at in range(3, len(data), CHUNK):
-            part = data[at - 3 : at + CHUNK]
-            keys = _grams(part, ORDERS)
+            piece = data[at - 3 : at + CHUNK]
+            own = np.flatnonzero(self.part[piece[2:-1]] & (piece[3:] != 0xFF))
+            keys = _grams(piece, ORDERS)[own]
             found = self.index[ORDERS](keys)
             cost = self.cost[ORDERS][found]
             unknown = np.flatnonzero(found == 0)
             cost[unknown] = self._lower(ORDERS, keys[unknown])
-            cost[part[3:] == 0xFF] = 0
             first = np.searchsorted(starts, at, side="right") - 1
-            last = np.searchsorted(starts, at + len(cost), side="left")
-            cuts = np.maximum(starts[first:last] - at, 0)
-            out[first:last] += np.add.reduceat(cost, cuts, axis=0, dtype=np.float64)
+            last = np.searchsorted(starts, at + len(piece) - 3, side="left")
+            # Where each text's positions begin among those of this part, for sums over stretches.
+            cuts = np.searchsorted(own, np.maximum(starts[first:last] - at, 0))
+            sums = np.concatenate([np.zeros((1, len(self.langs))), np.cumsum(cost, axis=0)])
+            out[first:last] += sums[np.append(cuts[1:], len(own))] - sums[cuts]
         return out
 
 
-def _most_frequent(strings: DataFrame, nodes: int) -> DataFrame:
-    """The strings of each language down to the count at which they would be more than `nodes`.
+def _model(langs: list[str], part: np.ndarray, code: np.ndarray, grams: np.ndarray, n: np.ndarray, single: np.ndarray) -> Model:
+    """A part from its strings of four bytes; `single` counts each last byte over all parts."""
+    orders = {}
+    for order in range(2, ORDERS + 1):
+        keys = grams & np.uint32((1 << 8 * order) - 1)
+        inside = keys >> np.uint32(8 * (order - 1)) != 0xFF  # else the text's start cuts the context off
+        unique, at = np.unique(keys[inside], return_inverse=True)
+        counts = np.zeros((len(unique), len(langs)))
+        np.add.at(counts, (at, code[inside]), n[inside])
+        orders[order] = unique, counts
+    last = np.flatnonzero(single.any(1)).astype(np.uint32)
+    return Model(langs, part, {1: (last, single[last])} | orders)
 
-    How many strings have a count is summed first, so that no language is sorted in one task.
-    """
-    sizes = strings.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("many"))
-    down = Window.partitionBy("lang").orderBy(F.col("n").desc())
-    fits = sizes.withColumn("total", F.sum("many").over(down)).where(F.col("total") <= nodes)
-    least = fits.groupBy(F.col("lang").alias("_lang")).agg(F.min("n").alias("least"))
-    # A row per language, which the model has a column for.
-    joined = strings.join(F.broadcast(least), F.col("lang") == F.col("_lang"))
-    return joined.where(F.col("n") >= F.col("least")).select("lang", "key", "n")
 
-
-def trained(docs: DataFrame, lang: str = "lang", text: str = "text") -> Model | None:
+def trained(docs: DataFrame, lang: str = "lang", text: str = "text", strings: int = PART_STRINGS) -> Iterator[Model]:
+    """The parts of the model, one after another; none if nothing could be learned."""
     counts = counted(docs, lang, text)
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
     if not langs:
-        return None
-    nodes = max(LEAST_NODES, NODES // len(langs))
-    code = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1
-    grams = {}
-    for order in range(1, ORDERS + 1):
-        width = (1 << 8 * order) - 1
-        keys = counts.select("lang", F.col("gram").bitwiseAND(F.lit(width)).alias("key"), "n")
-        if order > 1:  # a context that is cut off by the text's start is a shorter one
-            keys = keys.where(F.shiftright("key", 8 * (order - 1)) != 0xFF)
-        kept = _most_frequent(written(keys.groupBy("lang", "key").agg(F.sum("n").alias("n")), "strings"), nodes)
-        rows = kept.select(code.cast("int").alias("code"), "key", "n").toPandas()
-        unique, at = np.unique(rows["key"].to_numpy(np.int64).astype(np.uint32), return_inverse=True)
-        table = np.zeros((len(unique), len(langs)))
-        table[at, rows["code"].to_numpy()] = rows["n"].to_numpy()
-        grams[order] = (unique, table)
-    return Model(langs, grams)
-
-
-def predictor(model: Model | None):
+        return
+    code = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int")
+    before = F.shiftright("gram", 8).bitwiseAND(F.lit(0xFF)).cast("int")
+    coded = counts.select(code.alias("code"), "gram", "n", before.alias("before"))
+    single = np.zeros((256, len(langs)))
+    last = F.col("gram").bitwiseAND(F.lit(0xFF)).cast("int").alias("last")
+    for r in coded.groupBy("code", last).agg(F.sum("n").alias("n")).collect():  # 256 bytes a language
+        single[r["last"], r["code"]] = r["n"]
+    many = np.zeros(256, np.int64)
+    for r in coded.groupBy("before").count().collect():
+        many[r["before"]] = r["count"]
+    part_of = np.cumsum(many) // strings
+    for number in np.unique(part_of):
+        part = part_of == number
+        rows = coded.where(F.col("before").isin(np.flatnonzero(part).tolist())).toPandas()
+        yield _model(
+            langs, part, rows["code"].to_numpy(), rows["gram"].to_numpy(np.int64).astype(np.uint32), rows["n"].to_numpy(), single
+        )
+
+
+def predictor(spark: SparkSession, parts: Iterator[Model]):
     """A column function from text to (lang_pred, score)."""
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    langs, sent = [], []
+    for model in parts:
+        langs = model.langs
+        sent.append(spark.sparkContext.broadcast(model))
+
+    def bits(texts: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(texts), len(langs)))
+        for part in sent:
+            out += part.value.bits(texts)
+            if len(sent) > 1:  # read again from the executor's disk, so that one is held at a time
+                vars(part).pop("_value", None)
+        return out
 
     @F.arrow_udf(kind)
     def predict(text: pa.Array) -> pa.Array:
         names, scores = [UNKNOWN] * len(text), np.zeros(len(text))
-        if model is not None:
-            plain = [t.as_py() for t in text]
-            asked = [i for i, t in enumerate(plain) if t and _LETTER.search(t)]
-            if asked:
-                bits = model.bits([plain[i].encode() for i in asked])
-                best = bits.argmin(1)
-                share = 1 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
-                for i, b, s in zip(asked, best.tolist(), share.tolist()):
-                    names[i], scores[i] = model.langs[b], s
+        plain = [t.as_py() for t in text]
+        asked = [i for i, t in enumerate(plain) if langs and t and _LETTER.search(t)]
+        if asked:
+            cost = bits([plain[i].encode() for i in asked])
+            best = cost.argmin(1)
+            share = 1 / np.exp2(cost.min(1, keepdims=True) - cost).sum(1)
+            for i, b, s in zip(asked, best.tolist(), share.tolist()):
+                names[i], scores[i] = langs[b], s
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores)], names=kind.names)
 
     return predict
@@ -243,10 +260,11 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def identified(docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
+def identified(
+    docs: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text", strings: int = PART_STRINGS
+) -> DataFrame:
     """(key, held_out, lang_pred, score), learned from the documents that are not held out."""
-    model = trained(docs.where(~held_out(key)), lang, text)
-    predict = predictor(model)
+    predict = predictor(docs.sparkSession, trained(docs.where(~held_out(key)), lang, text, strings))
     return docs.select(key, held_out(key).alias("held_out"), predict(F.col(text)).alias("p")).select(
         key, "held_out", "p.lang_pred", "p.score"
     )
