@@ -128,16 +128,16 @@ def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP7_SQL = """
 with whole as (
-    select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+    select row_number() over () as row, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
     from embeddings
 ),
 scored as (
-    select q.vec_id as query_id, c.vec_id,
+    select q.row, q.vec_id as query_id, c.vec_id,
         cast(list_sum(list_transform(range(len(q.v)), lambda i: q.v[i + 1] * c.v[i + 1])) as bigint) as score
-    from whole q join whole c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0
+    from whole q join whole c on q.row <> c.row where q.vec_id % 20 = 0
 ),
 ranked as (
-    select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank
+    select *, cast(row_number() over (partition by row order by score desc, vec_id) as int) as rank
     from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 20

@@ -11,8 +11,8 @@ Queries meet all candidates block by block, an equality join on block numbers; b
 size, so tasks do not grow with the table.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do
-rows without an id. Where an id comes more than once, the least of its vectors stands for it.
-Shorter vectors are as if filled up with zeros. Scores beyond a long are cut to its range. A query
+rows without an id. Rows that repeat an id are rows of their own: each is a candidate to all others,
+and each asks if its id does. Other columns are not looked at, whatever their names. Shorter vectors are as if filled up with zeros. Scores beyond a long are cut to its range. A query
 with fewer than k candidates returns them all; without candidates it returns nothing.
 """
 
@@ -36,11 +36,11 @@ EXACT = 2**53  # whole numbers below this are exact as doubles
 
 
 def quantized(vectors: DataFrame, key: str, vector: str, scale: float = 64.0) -> DataFrame:
-    """(id, v): floor(scale * x) of the rows that take part, one per id."""
+    """(id, v): floor(scale * x) of the rows that take part."""
     usable = F.expr(f"forall(`{vector}`, x -> x is not null and not isnan(x) and abs(double(x)) < double('inf'))")
     whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & usable)
-    return rows.select(F.col(key).alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(F.col(key).alias("id"), whole.alias("v"))
 
 
 def _matrix(rows: pa.Table, exact: bool) -> np.ndarray:
@@ -78,7 +78,7 @@ def _gathered(k: int, slices: int):
     def gather(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out_ids, out_scores = [], []
         if len(queries) and len(candidates):
-            ids, own = queries["id"].to_numpy(), candidates["id"].to_numpy()
+            ids, own = queries["row"].to_numpy(), candidates["row"].to_numpy()
             for at, lists in _steps(queries, candidates, slices):
                 total = sum(lists[1:], lists[0])
                 n = total.shape[1]
@@ -100,9 +100,10 @@ def _gathered(k: int, slices: int):
 
 def _resolved(k: int, slices: int):
     def resolve(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        found = [np.zeros((3, 0), np.int64)]
+        found = [np.zeros((4, 0), np.int64)]
         if len(queries) and len(candidates):
-            ids, own = queries["id"].to_numpy(), candidates["id"].to_numpy()
+            ids, own, named = queries["row"].to_numpy(), candidates["row"].to_numpy(), candidates["id"].to_numpy()
+            asking = queries["id"].to_numpy()
             cutoff = queries["cutoff"].to_pylist()
             for at, lists in _steps(queries, candidates, slices):
                 total = lists[0].shape[0]
@@ -117,13 +118,14 @@ def _resolved(k: int, slices: int):
                 score = sum((s[row, column] for s in lists[1:]), lists[0][row, column])
                 keep = (score >= bound[row, 0]) & (own[column] != ids[at + row])
                 row, column, score = row[keep], column[keep], _as_long(score[keep])
-                order = np.lexsort((own[column], ~score, row))  # ~ turns the order without overflow
+                order = np.lexsort((own[column], named[column], ~score, row))  # ~ turns the order without overflow
                 row, column, score = row[order], column[order], score[order]
                 place = np.arange(len(row)) - np.searchsorted(row, row)
                 first = place < k
-                found.append(np.stack([ids[at + row[first]], own[column[first]], score[first]]))
-        query, vec, score = np.concatenate(found, axis=1)
-        return pa.table({"query": query, "vec": vec, "score": score})
+                asked = at + row[first]
+                found.append(np.stack([ids[asked], asking[asked], named[column[first]], score[first]]))
+        query, query_id, vec, score = np.concatenate(found, axis=1)
+        return pa.table({"query": query, "query_id": query_id, "vec": vec, "score": score})
 
     return resolve
 
@@ -133,20 +135,22 @@ def top_k(
     k: int = K, slices: int = SLICES, block: int = BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best other rows; `is_query` is on `id`."""
-    plain = written(quantized(vectors, key, vector), "vectors")
+    # The number of a row tells it from others of its id.
+    numbered = quantized(vectors, key, vector).withColumn("row", F.monotonically_increasing_id())
+    plain = written(numbered, "vectors")
     width, rows, asked = plain.agg(
         F.max(F.size("v")), F.count(F.lit(1)), F.count(F.when(is_query, 1))
     ).first()
     blocks, query_blocks = (max(1, math.ceil(n / b)) for n, b in ((rows, block), (asked, query_block)))
     filled = plain.select(
-        "id", F.expr(f"concat(v, array_repeat(0L, {width or 0} - size(v)))").alias("v")
+        "id", "row", F.expr(f"concat(v, array_repeat(0L, {width or 0} - size(v)))").alias("v")
     ).where(F.size("v") > 0)
     every = filled.select(
-        "*", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("c"),
+        "*", F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("c"),
         F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"),
     )
     queries = filled.where(is_query).select(
-        "*", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).alias("q")
+        "*", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(query_blocks)).alias("q")
     )
 
     def met(asking: DataFrame, function, schema: str) -> DataFrame:
@@ -163,10 +167,10 @@ def top_k(
         .select("query", F.col("score").alias("cutoff")),
         "cutoffs",
     )
-    told = queries.join(cutoffs, F.col("id") == F.col("query"), "left").drop("query")
-    entries = met(told, _resolved(k, slices), "query long, vec long, score long")
+    told = queries.join(cutoffs, F.col("row") == F.col("query"), "left").drop("query")
+    entries = met(told, _resolved(k, slices), "query long, query_id long, vec long, score long")
     order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec")
     return (
         entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select(F.col("query").alias("query_id"), "rank", F.col("vec").alias("vec_id"), "score")
+        .select("query_id", "rank", F.col("vec").alias("vec_id"), "score")
     )
