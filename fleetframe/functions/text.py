@@ -166,6 +166,41 @@ def glob_regex_column(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^(?:"), F.array_join(F.transform(tokens, token_regex), ""), F.lit(r")\z"))
 
 
+# What stands before and behind a text whose fragments are looked up, and in place of wildcards.
+_START, _END, _GAP = "\x02", "\x03", "\x00"
+FRAGMENT = 3  # the longest fragment
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """All stretches of `size` characters; single anchors say nothing and are left out."""
+    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - size + 1))
+    found = F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(size)))
+    return F.filter(found, lambda p: ~p.isin(_START, _END)) if size == 1 else found
+
+
+def text_fragments(text: Column) -> Column:
+    """The distinct fragments of one to FRAGMENT characters of a text, its ends marked."""
+    marked = F.concat(F.lit(_START), text, F.lit(_END))
+    return F.array_distinct(F.concat(*[_pieces(marked, n) for n in range(1, FRAGMENT + 1)]))
+
+
+def glob_fragments(pattern: Column) -> Column:
+    """The longest fragments, of FRAGMENT characters at most, that every match of a shell pattern
+    holds; empty for a pattern of wildcards and sets only."""
+    tokens = F.regexp_extract_all(pattern, F.lit(_GLOB_TOKEN), F.lit(0))
+    open_ = F.transform(tokens, lambda t: F.when((F.length(t) > 1) | t.isin("*", "?"), F.lit(_GAP)).otherwise(t))
+    runs = F.split(F.concat(F.lit(_START), F.array_join(open_, ""), F.lit(_END)), _GAP)
+
+    def of_runs(size: int) -> Column:
+        return F.flatten(F.transform(runs, lambda run: _pieces(run, size)))
+
+    by_size = [of_runs(n) for n in range(FRAGMENT, 0, -1)]
+    longest = by_size[-1]
+    for found in reversed(by_size[:-1]):
+        longest = F.when(F.size(found) > 0, found).otherwise(longest)
+    return F.array_distinct(longest)
+
+
 def log_fields(line: Column) -> Column:
     """Fields of a log line in either of the two formats, null where a field is absent.
 

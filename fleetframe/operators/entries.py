@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,23 +15,30 @@ def cut_entries(
 ) -> DataFrame:
     """Entries with first <= entry_no < last, for every chunk row (chunk, file, first, last).
 
-    Files are laid out in cells about as wide as the mean range, so the ranges touch about three
-    cells each (more only where the mean exceeds the widest cell), and an entry is in one. An
-    equality join on the cell pairs the two; the entries are not unfolded. A cell holds at most
-    2**MAX_LEVEL entries of a file, so a large file spreads over many join keys.
+    Ranges may overlap, nest and be of any widths. Each is laid out in cells as wide as the next
+    power of two of its own width, of which it touches two at most (more only beyond the widest
+    cell), and an entry is in one cell of each width in use. An equality join on file, width and
+    cell pairs the two, so a wide range never makes narrow ones meet more entries. A cell holds at
+    most 2**MAX_LEVEL entries of a file, so a large file spreads over many join keys.
     """
     ranges = chunks.filter(F.col("last") > F.col("first"))
-    mean = ranges.select(F.avg(F.col("last") - F.col("first"))).first()[0] or 1
-    level = min(MAX_LEVEL, math.ceil(math.log2(max(1, mean))))
+    width = F.col("last") - F.col("first")
+    level = F.least(F.lit(MAX_LEVEL), F.length(F.bin(width - 1)) * (width > 1).cast("int"))
+    levelled = ranges.withColumn("_level", level)
+    used = sorted(r[0] for r in levelled.select("_level").distinct().collect())  # MAX_LEVEL + 1 at most
+    if not used:
+        used = [0]
 
     def cell(place: str) -> str:
-        return f"shiftright(cast({place} as bigint), {level})"
+        return f"shiftright(cast({place} as bigint), _level)"
 
-    laid = ranges.withColumn(
+    laid = levelled.withColumn(
         "_cell", F.explode(F.sequence(F.expr(cell("first")), F.expr(cell("last - 1"))))
     )
-    placed = entries.withColumn("_cell", F.expr(cell(entry)))
-    joined = placed.join(laid.withColumnRenamed("file", file), [file, "_cell"])
+    placed = entries.withColumn("_level", F.explode(F.array(*[F.lit(n) for n in used]))).withColumn(
+        "_cell", F.expr(cell(entry))
+    )
+    joined = placed.join(laid.withColumnRenamed("file", file), [file, "_level", "_cell"])
     inside = (F.col(entry) >= F.col("first")) & (F.col(entry) < F.col("last"))
     return joined.filter(inside).select(*entries.columns, "chunk", "first", "last")
 

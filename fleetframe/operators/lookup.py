@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetframe.functions.servers import AD_COLUMNS, server_weight
-from fleetframe.functions.text import matches_any, requirement_name
+from fleetframe.functions.text import (
+    glob_fragments, glob_regex_column, matches_any, requirement_name, text_fragments,
+)
 
 BASE_VERSION = r"[A-Za-z]+_\d+_\d+_\d+"
 
@@ -123,6 +125,36 @@ def matching_sites(sites: DataFrame, patterns: list[str], site: str = "site") ->
     return sites.filter(matches_any(F.col(site), patterns)).select(site).distinct()
 
 
+def matching_any(
+    names: DataFrame, patterns: DataFrame, name: str = "name", pattern: str = "pattern", at_once: int = 1000
+) -> DataFrame:
+    """Distinct names that match at least one of a table of shell patterns.
+
+    Every match of a pattern holds its literal fragments, the ends of the name included. Each
+    pattern is looked up by the one of its fragments that the fewest names hold, an equality join
+    with the fragments of the names, and confirmed on the names that share it. Patterns of wildcards
+    and sets only have no fragment; they are tested in scans of the names, `at_once` of them in one.
+    Nulls match nothing.
+    """
+    every = names.filter(F.col(name).isNotNull()).select(F.col(name).alias("_name")).distinct()
+    asked = patterns.filter(F.col(pattern).isNotNull()).select(F.col(pattern).alias("_pattern")).distinct()
+    asked = asked.withColumn("_fragments", glob_fragments(F.col("_pattern")))
+    wanted = asked.select("_pattern", F.explode("_fragments").alias("_fragment"))
+    held = every.select("_name", F.explode(text_fragments(F.col("_name"))).alias("_fragment"))
+    met = held.join(wanted.select("_fragment").distinct(), "_fragment", "left_semi")
+    many = met.groupBy("_fragment").agg(F.count(F.lit(1)).alias("_many"))
+    # A fragment that no name holds is the rarest: nothing can match its pattern.
+    rarest = wanted.join(many, "_fragment", "left").groupBy("_pattern").agg(
+        F.min_by("_fragment", F.struct(F.coalesce("_many", F.lit(0)), "_fragment")).alias("_fragment")
+    )
+    near = held.join(rarest, "_fragment").filter(F.rlike(F.col("_name"), glob_regex_column(F.col("_pattern"))))
+    found = near.select("_name")
+    loose = [r[0] for r in asked.filter(F.size("_fragments") == 0).select("_pattern").toLocalIterator()]
+    for at in range(0, len(loose), at_once):
+        found = found.unionByName(every.filter(matches_any(F.col("_name"), loose[at : at + at_once])))
+    return found.distinct().withColumnRenamed("_name", name)
+
+
 def select_sites(
     sites: DataFrame, deny: list[str], allow: list[str], site: str = "site"
 ) -> DataFrame:

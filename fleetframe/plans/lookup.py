@@ -58,6 +58,21 @@ def glob(spark, sf):
     return lookup.matching_sites(names, NAMES)
 
 
+def glob_patterns(spark, sf):
+    """Names that match one of many patterns, which come from a table: ends, middles, lengths."""
+    parts = table(spark, sf, "part")
+    names = parts.select(F.concat("p_name", F.lit(" "), "p_type", F.lit(" "), "p_partkey").alias("name"))
+    key, last = F.col("p_partkey"), F.right(F.col("p_partkey").cast("string"), F.lit(2))
+    made = F.array(
+        F.concat(F.left("p_name", F.lit(4)), F.lit("*"), F.right("p_type", F.lit(3)), F.lit(" "), last),
+        F.concat(F.lit("*"), F.substring("p_type", 2, 2), F.lit("* "), key.cast("string")),
+        F.concat(F.lit("*["), F.substring("p_name", 1, 1), F.lit("]?"), F.substring("p_name", 3, 3), F.lit("*?7")),
+        F.lit("[!a-z]*"), F.repeat(F.lit("?"), 16 + F.pmod(key, F.lit(3)).cast("int")),
+    )
+    patterns = parts.filter(key % 9 == 0).select(F.get(made, (key % 5).cast("int")).alias("pattern"))
+    return lookup.matching_any(names, patterns)
+
+
 def glob_column(spark, sf):
     """A pattern of its own per row: a first letter, one of a set, any others, a last letter.
 
@@ -239,6 +254,18 @@ with s as (
 """
 
 QUERIES = {
+    "q_glob_patterns": (
+        glob_patterns,
+        """with n as (select p_name || ' ' || p_type || ' ' || p_partkey as name from part),
+           p as (
+             select distinct case p_partkey % 5
+               when 0 then p_name[1:4] || '*' || p_type[-3:] || ' ' || right(cast(p_partkey as varchar), 2)
+               when 1 then '*' || p_type[2:3] || '* ' || p_partkey
+               when 2 then '*[' || p_name[1] || ']?' || p_name[3:5] || '*?7'
+               when 3 then '[!a-z]*' else repeat('?', 16 + p_partkey % 3) end as pattern
+             from part where p_partkey % 9 = 0)
+           select distinct name from n, p where name glob pattern""",
+    ),
     "q_prefix_lookup": (
         prefix_lookup,
         _PREFIX.format(

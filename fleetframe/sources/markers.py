@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,51 +10,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetframe.functions.text import matches_any
+from fleetframe.sources import places
 from fleetframe.sources.lines import plain_path
 
 LISTED = "path string, length bigint"
 LISTING_BATCH = 10000
+LANES = 4  # tasks that list a folder
 MARKER = r"^(out|err|log|exitcode)_.*_\d+_\d+\.txt$"
 
 
-def _entries(folder: str) -> Iterator[tuple[str, int]]:
-    """Name and size of a folder's files, one at a time where the file system allows that."""
-    from pyarrow import fs
-
-    if "://" not in folder:
-        with os.scandir(folder) as found:
-            for entry in found:
-                if entry.is_file():
-                    yield entry.name, entry.stat().st_size
-        return
-    system, root = fs.FileSystem.from_uri(folder)
-    for info in system.get_file_info(fs.FileSelector(root)):
-        if info.is_file:
-            yield info.base_name, info.size
-
-
 def _scan_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for folder in batch["folder"]:
-            rest = ((f"{folder}/{name}", size) for name, size in _entries(folder))
+        for folder, lane, lanes in zip(batch["folder"], batch["lane"], batch["lanes"]):
+            rest = ((f"{folder}/{name}", size) for name, size in places.entries(folder, lane, lanes))
             while part := list(itertools.islice(rest, LISTING_BATCH)):
                 yield pd.DataFrame(part, columns=["path", "length"])
 
 
 def list_files(
-    spark: SparkSession, folders: str | list[str], glob: str | list[str] = "*"
+    spark: SparkSession, folders: str | list[str], glob: str | list[str] = "*", lanes: int = LANES
 ) -> DataFrame:
     """(path, length) of the files in some folders; their content is not read.
 
     Empty files count, which Spark's own file sources leave out: an empty error file or exit
-    record says something about its job. Each folder is listed by a task of its own.
+    record says something about its job. Each folder is listed by `lanes` tasks: each reads the
+    names, one at a time, and asks only for the files that fall to it, so a folder with very many
+    files is not one task's work. A path without a scheme is one of the cluster's file system.
     """
     named = [folders] if isinstance(folders, str) else list(folders)
-    paths = [(f.removeprefix("file://").rstrip("/"),) for f in named]
-    table = spark.createDataFrame(paths, "folder string").repartition(len(paths), "folder")
+    paths = [(places.qualified(spark, f),) for f in named]
+    lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    table = spark.createDataFrame(paths, "folder string").select("folder", lane, F.lit(lanes).alias("lanes"))
     base = F.substring_index(F.col("path"), "/", -1)
     globs = [glob] if isinstance(glob, str) else list(glob)
-    return table.mapInPandas(_scan_folders, LISTED).filter(matches_any(base, globs))
+    # By range each pair is a task of its own; by hash some would fall together.
+    spread = table.repartitionByRange(len(paths) * lanes, "folder", "lane")
+    return spread.mapInPandas(_scan_folders, LISTED).filter(matches_any(base, globs))
 
 
 def parse_marker_names(listing: DataFrame, path: str = "path") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -32,16 +33,24 @@ def opened(path: str):
     return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
 
 
-def entries(folder: str) -> Iterator[tuple[str, int]]:
-    """Name and length of the files that a folder holds directly; nothing for one that is not there."""
+def entries(folder: str, lane: int = 0, lanes: int = 1) -> Iterator[tuple[str, int]]:
+    """Name and length of the files that a folder holds directly; nothing for one that is not there.
+
+    Of several lanes each one gives the files whose names fall to it, and asks for the length of
+    those only.
+    """
+
+    def own(name: str) -> bool:
+        return zlib.crc32(name.encode(errors="surrogateescape")) % lanes == lane
+
     system, root = opened(folder)
     if system.type_name == "local":
         if os.path.isdir(root):
             with os.scandir(root) as found:
-                yield from ((e.name, e.stat().st_size) for e in found if e.is_file())
+                yield from ((e.name, e.stat().st_size) for e in found if own(e.name) and e.is_file())
         return
     from pyarrow import fs
 
     for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-        if info.is_file:
+        if own(info.base_name) and info.is_file:
             yield info.base_name, info.size
