@@ -1,11 +1,20 @@
-"""Running a function once per parameter row, with a ledger of attempts."""
+"""Running a function once per parameter row, with a ledger of attempts.
+
+Spark may run a task twice. With `claims`, a folder that all executors mount, an attempt belongs to
+the task that first makes its claim there, by a file that can be made only once; the outcome is put
+beside it. A second task finds the claim and takes the outcome over instead of calling again.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,24 +23,72 @@ from fleetframe.functions import settings
 from fleetframe.session import shuffle_partitions
 
 RETRY_PAUSE = 60.0
+PATIENCE = 3600.0  # seconds that a task waits for the outcome of an attempt that another one claimed
+LOOK_EVERY = 0.2
 RESUBMITTED_PROC_ID = "RESUBMITTED_PROC_ID"
 
 
-def _attempt(fn: Callable, scope: dict, allowed: int, pause: float) -> tuple:
+class Claims:
+    """Claims of attempts below a folder, spread over sub-folders; a name may be made once."""
+
+    def __init__(self, folder: str, patience: float = PATIENCE):
+        if "://" in folder.removeprefix("file://"):
+            raise ValueError("claims need a folder that every executor mounts")
+        self.folder, self.patience = folder.removeprefix("file://"), patience
+
+    def once(self, name: str, call: Callable[[], tuple]) -> tuple:
+        """The outcome of the call, made here or by the task that claimed it first."""
+        digest = hashlib.sha256(name.encode()).hexdigest()
+        place = os.path.join(self.folder, digest[:2])
+        claim, told = os.path.join(place, f"{digest}.claim"), os.path.join(place, f"{digest}.json")
+        os.makedirs(place, exist_ok=True)
+        try:
+            os.close(os.open(claim, os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return self._heard(told)
+        outcome = call()
+        with open(f"{told}.new", "w") as file:
+            json.dump(outcome, file)
+        os.replace(f"{told}.new", told)  # seen whole or not at all
+        return outcome
+
+    def _heard(self, told: str) -> tuple:
+        until = time.monotonic() + self.patience
+        while not os.path.exists(told):
+            if time.monotonic() >= until:
+                return 1, None, "the task that claimed this attempt left no outcome"
+            time.sleep(LOOK_EVERY)
+        with open(told) as file:
+            return tuple(json.load(file))
+
+
+def _call(fn: Callable, scope: dict) -> tuple:
+    """One call: (exitcode, out, err)."""
+    try:
+        result = fn(scope)
+        return 0, None if result is None else str(result), None
+    except SystemExit as stop:
+        code = stop.code if isinstance(stop.code, int) else int(stop.code is not None)
+        code = max(-(2**31), min(code, 2**31 - 1))
+        return code, None, f"exit {stop.code}" if code else None
+    except Exception as error:
+        return 1, None, f"{type(error).__name__}: {error}"
+
+
+def _attempt(
+    fn: Callable, scope: dict, allowed: int, pause: float, claims: Claims | None = None, name: str = ""
+) -> tuple:
     """Call `fn` until it succeeds or the attempts are used up: (attempts, exitcode, out, err)."""
     outcome = (0, 1, None, "no attempt allowed")
     for attempt in range(1, allowed + 1):
-        try:
-            result = fn({**scope, "attempt": attempt})
-            return attempt, 0, None if result is None else str(result), None
-        except SystemExit as stop:
-            code = stop.code if isinstance(stop.code, int) else int(stop.code is not None)
-            code = max(-(2**31), min(code, 2**31 - 1))
-            outcome = (attempt, code, None, f"exit {stop.code}")
-            if code == 0:
-                return attempt, 0, None, None
-        except Exception as error:
-            outcome = (attempt, 1, None, f"{type(error).__name__}: {error}")
+        told = {**scope, "attempt": attempt}
+        if claims:
+            result = claims.once(f"{name} {attempt}", lambda told=told: _call(fn, told))
+        else:
+            result = _call(fn, told)
+        outcome = (attempt, *result)
+        if result[0] == 0:
+            break
         if attempt < allowed and pause:
             time.sleep(pause)
     return outcome
@@ -45,13 +102,19 @@ def fan_out(
     pause: float = RETRY_PAUSE,
     round_no: int = 0,
     partitions: int | None = None,
+    claims: str | None = None,
+    patience: float = PATIENCE,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Ledger of one call of `fn` per row, with the row and the `attempt` as its scope.
 
     A failing row is recorded and does not stop the others. `attempts` is a number or a column
     with the number of tries of the row; a row without a number has one. Exit codes beyond 32
-    bits become the nearest code within. Spark may run a task twice, so `fn` has to be
-    repeatable and the ledger is read through `latest_attempt`.
+    bits become the nearest code within. Spark may run a task twice: without `claims`, `fn` has to be
+    repeatable; with them each attempt of a row and round calls it once, and a claim whose task was
+    lost counts as a failed attempt after `patience` seconds. Rows are told apart by their keys. The
+    ledger is read through `latest_attempt` either way. `profile` asks for executors and task shares
+    of its own for this stage, so that a function with much memory does not set the size of all.
     """
     allowed = F.col(attempts) if isinstance(attempts, str) else F.lit(attempts)
     spec = params.withColumn("_allowed", F.coalesce(allowed, F.lit(1)))
@@ -67,11 +130,14 @@ def fan_out(
     )
     names = [field.name for field in schema]
 
+    held = Claims(claims, patience) if claims else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             records = []
             for scope in batch.to_pylist():
-                records.append(_attempt(fn, scope, scope.pop("_allowed"), pause))
+                name = json.dumps([round_no, *(scope[key] for key in keys)], default=str)
+                records.append(_attempt(fn, scope, scope.pop("_allowed"), pause, held, name))
             tried, codes, outs, errs = zip(*records) if records else ((), (), (), ())
             columns = [batch.column(key) for key in keys] + [
                 pa.array([round_no] * len(records), pa.int32()),
@@ -83,7 +149,7 @@ def fan_out(
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     spread = spec.repartition(partitions or shuffle_partitions(params.sparkSession), *keys)
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(run, schema, profile=profile)
 
 
 def first_job(params: DataFrame, order: str) -> DataFrame:

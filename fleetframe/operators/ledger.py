@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetframe.functions import status as S
 
 JOB = ["cluster_id", "proc_id"]
+BUCKETS = 64  # of a table that is kept by job; a few for each executor core suit best
 
 
 def expected_jobs(entries: DataFrame) -> DataFrame:
@@ -83,6 +84,20 @@ def job_status(expected: DataFrame, queue: DataFrame, markers: DataFrame) -> Dat
     ).drop("has_log", "has_out", "has_err")
 
 
+def keep_by_job(rows: DataFrame, table: str, path: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Write expected jobs, a queue or markers as a table in buckets by job, and read it back.
+
+    Tables with the same number of buckets join on the job, and are grouped by it, where they lie:
+    `job_status` over three of them moves nothing. A bucket is one sorted file, and a read of one
+    job opens one bucket.
+    """
+    writer = rows.repartition(buckets, *JOB).write.mode("overwrite").bucketBy(buckets, *JOB).sortBy(*JOB)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def only_failed(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.col("failed"))
 

@@ -161,13 +161,11 @@ def rows_at(df: DataFrame, order: str | list[str], low: int, high: int, out: str
     met = sizes.withColumn("start", F.coalesce(before, F.lit(0))).filter(
         (F.col("start") < high) & (F.col("start") + F.col(_VALUE) > low)
     )
-    starts = {r[_RANGE]: r["start"] for r in met.select(_RANGE, "start").collect()}
-    if not starts:
-        return cut.rows.filter("false").withColumn(out, F.lit(0).cast("bigint")).select(*cut.columns, out)
     inside = Window.partitionBy(_RANGE).orderBy(*cut.order)
-    start = F.create_map(*[F.lit(v) for pair in starts.items() for v in pair])[F.col(_RANGE)]
-    numbered = cut.rows.filter(F.col(_RANGE).isin(*starts)).withColumn(
-        out, (start + F.row_number().over(inside) - 1).cast("bigint")
+    # A row per range that is met: as a table it may be any size, and a small one is broadcast once
+    # its size is known.
+    numbered = cut.rows.join(met.select(_RANGE, "start"), _RANGE).withColumn(
+        out, (F.col("start") + F.row_number().over(inside) - 1).cast("bigint")
     )
     return numbered.filter((F.col(out) >= low) & (F.col(out) < high)).select(*cut.columns, out)
 

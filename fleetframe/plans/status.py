@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from fleetframe.functions import settings
 from fleetframe.functions import status as S
 from fleetframe.operators import fanout, ledger
 from fleetframe.plans import table
+from fleetframe.session import work_dir
 
 
 def expected(spark, sf) -> DataFrame:
@@ -59,8 +62,22 @@ def jobs(spark, sf) -> DataFrame:
     return ledger.job_status(expected(spark, sf), queue(spark, sf), markers(spark, sf))
 
 
+def status_kept(spark, sf):
+    """The status of tables that are kept in buckets by job; the second question moves nothing."""
+    tag = uuid.uuid4().hex
+    kept = [
+        ledger.keep_by_job(rows(spark, sf), f"{rows.__name__}_{tag}", work_dir(spark, rows.__name__), 8)
+        for rows in (expected, queue, markers)
+    ]
+    return _status(ledger.job_status(*kept))
+
+
 def status_jobs(spark, sf):
-    return jobs(spark, sf).select(
+    return _status(jobs(spark, sf))
+
+
+def _status(found: DataFrame) -> DataFrame:
+    return found.select(
         "cluster_id",
         "proc_id",
         "status",
@@ -179,6 +196,12 @@ _COUNTS = """
 """
 
 QUERIES = {
+    "q_status_kept": (
+        status_kept,
+        _JOBS
+        + """select cluster_id, proc_id, status, status_name, flag_names, running, failed,
+                    success, outcome from job""",
+    ),
     "q_status_jobs": (
         status_jobs,
         _JOBS
