@@ -171,46 +171,77 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op10_sql() -> str:
     rows = ",\n    ".join(
-        f"('{name}', [{', '.join(repr(g) for g in licenses.template_bigrams(text))}])"
-        for name, text in licenses.TEMPLATES
+        f"({i}, '{name}', {len(licenses.template_words(text))}, [{', '.join(repr(g) for g in licenses.template_bigrams(text))}])"
+        for i, (name, text) in enumerate(licenses.TEMPLATES)
     )
     return rf"""
-with templates(name, grams) as (values
+with templates(t, name, m, grams) as (values
     {rows}
 ),
 plain as (
     select doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') as body
     from documents
 ),
-passages as (
-    select doc_id, 'line' as kind, unnest(string_split(body, chr(10))) as body from plain
-    union all
-    select * from (
-        select doc_id, 'block' as kind, unnest(regexp_split_to_array(body, '\n *(?:\n *)+')) as body from plain
-    ) where contains(body, chr(10))
+units as (
+    select row_number() over () as unit, doc_id, kind, body from (
+        select doc_id, 'line' as kind, unnest(string_split(body, chr(10))) as body from plain
+        union all
+        select * from (
+            select doc_id, 'block' as kind, unnest(regexp_split_to_array(body, '\n *(?:\n *)+')) as body from plain
+        ) where contains(body, chr(10))
+    )
+),
+lines as (
+    select unit, unnest(string_split(body, chr(10))) as line, unnest(range(len(string_split(body, chr(10))))) as l from units
 ),
 worded as (
-    select row_number() over () as passage, doc_id,
-        list_filter(string_split(replace(body, chr(10), ' '), ' '), lambda w: w <> '') as w
-    from passages
+    select unit, l, unnest(list_filter(string_split(line, ' '), lambda w: w <> '')) as w,
+        unnest(range(len(list_filter(string_split(line, ' '), lambda w: w <> '')))) as i from lines
+),
+placed as (
+    select unit, l, w, cast(row_number() over (partition by unit order by l, i) - 1 as int) as pos from worded
+),
+pairs as (
+    select unit, pos, l, w || ' ' || lead(w) over (partition by unit order by pos) as g,
+        count(*) over (partition by unit) as width
+    from placed
+),
+listed as (
+    select unit, max(width) as width, list(g order by pos) as g, list(l order by pos) as l from pairs group by unit
 ),
-grams as (
-    select passage, doc_id,
-        list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g
-    from worded where len(w) >= 2
+each_gram as (select t, m, unnest(grams) as gram from templates),
+hits as (
+    select distinct unit, t, m, pos, width from pairs join each_gram on g = gram
+),
+-- A window that reaches the threshold begins at one of its pairs, or ends with words of no pair.
+spans as (
+    select distinct unit, t, pos - step as start, m as len
+    from (select *, unnest(range(m - 1)) as step from hits where width > m)
+    where pos - step >= 0 and pos - step + m <= width
+    union
+    select distinct unit, t, 0, width from hits
 ),
 scored as (
-    select passage, doc_id, name,
-        cast(2 * len(list_intersect(g, grams)) as double) / (len(g) + len(grams)) as dice
-    from grams, templates where 2 * least(len(g), len(grams)) >= 0.8 * (len(g) + len(grams))
+    select s.unit, name, s.start, s.len,
+        list_distinct(g[s.start + 1 : s.start + s.len - 1]) as own, grams, kind, l
+    from spans s join listed using (unit) join templates using (t) join units using (unit)
+    where s.len >= 2
+),
+reached as (
+    select unit, name, start, len, cast(2 * len(list_intersect(own, grams)) as double) / (len(own) + len(grams)) as dice
+    from scored
+    where (len = len(l) or kind = 'line' or l[start + 1] <> l[start + len])
+        and 2 * len(list_intersect(own, grams)) >= 0.8 * (len(own) + len(grams))
 ),
 best as (
-    select doc_id, passage, max(dice) as dice, arg_min(name, (-dice, name)) as name
-    from scored where dice >= 0.8 group by doc_id, passage
+    select distinct unit, name, max(dice) as dice from reached c where not exists (
+        select 1 from reached d where d.unit = c.unit and d.start < c.start + c.len and c.start < d.start + d.len
+            and (-d.dice, d.name, d.start, d.len) < (-c.dice, c.name, c.start, c.len)
+    ) group by unit, name
 ),
 per_doc as (
     select doc_id, count(*) as n, string_agg(distinct name, ',' order by name) as names, max(dice) as dice
-    from best group by doc_id
+    from best join units using (unit) group by doc_id
 )
 select d.doc_id, coalesce(n, 0) as n_matches, coalesce(names, '') as licenses,
     coalesce(dice, cast(0 as double)) as best_dice
