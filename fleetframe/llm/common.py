@@ -38,6 +38,14 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or with as many underscores behind it as it takes to clash with no column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_hashes(text: str) -> tuple[Column, Column]:
     """128 bits that stand for a text."""
     return F.xxhash64(F.lit(1), F.col(text)), F.xxhash64(F.col(text), F.lit(2))

@@ -23,6 +23,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetframe.llm.common import free_name
+
 THRESHOLD = 0.8
 
 # Public licence notices as they are commonly written. The families that differ in a
@@ -313,7 +315,4 @@ def matches(
 
 def scanned(docs: DataFrame, text: str = "text", out: str = "matches") -> DataFrame:
     """The input's columns and, behind them, the matches; a column that is called like `out` stays."""
-    taken = {c.lower() for c in docs.columns}
-    while out.lower() in taken:
-        out += "_"
-    return docs.select("*", matches(F.col(f"`{text}`")).alias(out))
+    return docs.select("*", matches(F.col(f"`{text}`")).alias(free_name(docs, out)))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetframe.llm.common import written
+from fleetframe.llm.common import free_name, written
 
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -108,8 +108,8 @@ def base_failed() -> Column:
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input's columns and the struct `stats`."""
-    return docs.withColumn("stats", text_stats(F.col(text)))
+    """The input's columns and, behind them, the struct `stats`; a column called so stays."""
+    return docs.select("*", text_stats(F.col(text)).alias(free_name(docs, "stats")))
 
 
 @dataclass(frozen=True)
@@ -241,7 +241,6 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judged(counts: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds base_failed and kept to rows that have COUNTS."""
-    return counts.withColumn("base_failed", base_failed()).withColumn(
-        "kept", ~F.col("base_failed") & verdict(rules)
-    )
+    """Adds base_failed and kept to rows that have COUNTS; columns called so stay."""
+    failed, kept = (free_name(counts, n) for n in ("base_failed", "kept"))
+    return counts.select("*", base_failed().alias(failed), (~base_failed() & verdict(rules)).alias(kept))
