@@ -89,6 +89,27 @@ def late_bounded(spark, sf):
     return counts.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour")).agg(F.max("n_events").alias("n_events"))
 
 
+def late_refused(spark, sf):
+    """Events that arrive in three rounds: two thirds, the last day of these again, the late third.
+
+    All are accepted, refused as repeats, or refused as more than a day late.
+    """
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    early = events.filter("event_id % 3 <> 0")
+    since = early.agg(F.date_trunc("millisecond", F.max("ts")) - F.expr("INTERVAL 1 DAY")).first()[0]
+    again = early.filter(F.col("ts") > F.lit(since))
+    arrived, path, checkpoint = (work_dir(spark, n) for n in ("arrived", "once", "offsets"))
+    for rows in (early, again, events.filter("event_id % 3 = 0")):
+        rows.write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(events.schema).parquet(arrived)
+        running = late.write_once(stream, path, checkpoint, ["event_id"], allowed=86400, availableNow=True)
+        for query in running:
+            query.awaitTermination()
+    received, accepted = (spark.read.schema(events.schema).parquet(f"{path}/{n}") for n in ("received", "accepted"))
+    parts = late.with_refused(received, accepted, ["event_id"])
+    return parts.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def follow_logs(spark, sf):
     """Log files by user, streamed while they grow: the odd events are added while the stream runs."""
     events = table(spark, sf, "events").select(
@@ -204,6 +225,16 @@ QUERIES = {
         late_bounded,
         "select date_trunc('hour', ts) as hour, count(*) as n_events from events group by 1",
     ),
+    "q_late_refused": (
+        late_refused,
+        """with t as (select date_trunc('milliseconds', max(ts)) - interval 1 day as since
+                      from events where event_id % 3 <> 0)
+           select event_id, ts,
+                  case when event_id % 3 = 0 and ts <= since then 'late' else 'accepted' end as part
+           from events, t
+           union all
+           select event_id, ts, 'repeat' from events, t where event_id % 3 <> 0 and ts > since""",
+    ),
     "q_follow_logs": (
         follow_logs,
         """with l as (
