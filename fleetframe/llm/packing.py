@@ -4,8 +4,9 @@ Lengths are small whole numbers, so the plan is made from their histogram, which
 possible length however large the corpus: large lengths are dealt into groups of equal cardinality
 and rounded up to the longest of their group; the few sizes that are left are packed into
 configurations by a linear program (columns from a knapsack); actual documents take the places of
-the rounded ones, longest first; what rounding the program down left over and all small documents
-go best-fit into the space that remains. The plan is a table of places, at most a few ten thousand
+the rounded ones, longest first. Documents of configurations that come out loose, and what rounding
+the program left over, are grouped again; the last of them and all small documents go best-fit into
+the space that remains. The plan is a table of places, at most a few ten thousand
 rows, and a document finds its own by its length and its rank among documents of that length.
 
 Defined results: a null text is an empty one, whose only id is the end. Repeated rows are packed
@@ -29,11 +30,13 @@ from fleetframe.llm.common import ranked, written
 
 CAPACITY = 1024
 END_ID = 2
-GROUPS = 96  # of equal cardinality
+GROUPS = 400  # of equal cardinality
 SMALL = 8  # a length below capacity / SMALL is small
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 NEAR = 1e-3  # how far from its optimum the linear program may stop
-LOOSE = (0, 1, 2, 4, 8, 16, 32, 64, 128, CAPACITY)  # free tokens of a configuration that may stay
+ROUNDS = 40  # of pricing at most; the program has a solution after any of them
+LOOSE = 1  # free tokens of a configuration that stays
+FAIR = 0.1  # share of the large documents that another round has to place
 RANK_ROWS = 1_000_000  # documents of one length that one task numbers
 
 
@@ -119,47 +122,103 @@ def _groups(counts: dict[int, int], wanted: int) -> list[tuple[int, list[tuple[i
     return groups
 
 
-def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable content of a sequence, piece by piece: layer k holds up to k pieces."""
-    room = np.arange(capacity + 1)[None, :] - sizes[:, None]
-    left, fits = np.maximum(room, 0), room >= 0
-    best, picks = np.zeros(capacity + 1), []
-    for _ in range(capacity // int(sizes.min())):
-        value = np.where(fits, best[left] + worth[:, None], -1.0)
+def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest worth that fits into each space, and its last piece (-1: as for one token less).
+
+    No piece is shorter than the shortest, so that many spaces follow from the ones before at once.
+    """
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    width = int(sizes.min())
+    for low in range(width, capacity + 1, width):
+        space = np.arange(low, min(low + width, capacity + 1))
+        left = space[None, :] - sizes[:, None]
+        value = np.where(left >= 0, best[np.maximum(left, 0)] + worth[:, None], -1.0)
         pick = value.argmax(0)
-        top = value[pick, np.arange(capacity + 1)]
-        better = top > best + 1e-12
-        picks.append(np.where(better, pick, -1))
-        best = np.where(better, top, best)
-    counts, at = np.zeros(len(sizes), int), capacity
-    for pick in reversed(picks):
-        if pick[at] >= 0:
-            counts[pick[at]] += 1
-            at -= sizes[pick[at]]
-    return float(best[capacity]), counts
-
-
-def configurations(sizes: list[int], needs: list[int], capacity: int) -> list[tuple[int, np.ndarray]]:
-    """(how often, pieces of each size): the linear program's solution, rounded down."""
+        top = value[pick, np.arange(len(space))]
+        most = np.maximum.accumulate(np.maximum(top, best[low - 1]))
+        best[space], last[space] = most, np.where(top >= most, pick, -1)
+    return best, last
+
+
+def _content(sizes: np.ndarray, last: np.ndarray, space: int) -> np.ndarray:
+    """How many pieces of each size the best filling of a space has."""
+    counts = np.zeros(len(sizes), int)
+    while space > 0:
+        if last[space] < 0:
+            space -= 1
+        else:
+            counts[last[space]] += 1
+            space -= sizes[last[space]]
+    return counts
+
+
+def _first_columns(sizes: np.ndarray, needs: np.ndarray, capacity: int) -> np.ndarray:
+    """A basis: the longest size left with the fullest filling, as often as its pieces last.
+
+    The size that is used up first has this column; later ones do without it, so they are independent.
+    """
+    columns = np.diag((capacity // sizes).astype(float))
+    left, open_ = needs.copy(), np.ones(len(sizes), bool)
+    while open_.any():
+        among = np.flatnonzero(open_)
+        first = among[0]
+        _, last = _knapsack(sizes[among], sizes[among] / capacity, capacity)
+        content = np.zeros(len(sizes))
+        content[among] = _content(sizes[among], last, capacity - sizes[first])
+        content[first] += 1
+        lasts = np.where(content > 0, left / np.maximum(content, 1), np.inf)
+        used = int(lasts.argmin())
+        columns[:, used] = content
+        left = left - lasts[used] * content
+        open_[used] = False
+        open_ &= left > 1e-9  # the others keep the column that holds only them
+    return columns
+
+
+def configurations(sizes: list[int], needs: list[int], capacity: int) -> list[tuple[float, np.ndarray]]:
+    """(how often, pieces of each size): a basic solution of the linear program.
+
+    `sizes` come longest first. Any prices of the pieces bound the number of sequences from below;
+    new configurations are priced half way between the current prices and those of the best bound
+    so far, which begins with the share of a sequence that a piece takes. One table of fillings
+    gives a configuration for every size, the best that holds it; those that pay enter the basis.
+    """
     sizes_, needs_ = np.array(sizes), np.array(needs, float)
-    columns = np.diag((capacity // sizes_).astype(float))
-    inverse = np.diag(1 / np.diag(columns))
-    for _ in range(30 * len(sizes)):
-        worth = inverse.sum(0)  # the price of a piece: every configuration costs one sequence
-        value, fresh = _knapsack(sizes_, np.maximum(worth, 0), capacity)
-        if value <= 1 + NEAR:
+    columns = _first_columns(sizes_, needs_, capacity)
+    trusted, bound = sizes_ / capacity, float(sizes_ @ needs_) / capacity
+    for _ in range(ROUNDS):
+        inverse = np.linalg.inv(columns)  # anew each round, so that errors do not add up
+        amount = inverse @ needs_
+        if amount.sum() <= bound * (1 + NEAR):
+            break
+        prices, entered = inverse.sum(0), False
+        for worth in ((np.maximum(prices, 0) + trusted) / 2, np.maximum(prices, 0)):
+            best, last = _knapsack(sizes_, worth, capacity)
+            if worth @ needs_ / best[capacity] > bound:
+                trusted, bound = worth / best[capacity], float(worth @ needs_ / best[capacity])
+            value = worth + best[capacity - sizes_]
+            for first in np.argsort(-value, kind="stable"):
+                fresh = _content(sizes_, last, capacity - sizes_[first])
+                fresh[first] += 1
+                gain = prices @ fresh - 1
+                if gain <= 1e-6:
+                    continue
+                amount, step = inverse @ needs_, inverse @ fresh
+                ratio = np.where(step > 1e-7, np.maximum(amount, 0) / np.where(step > 1e-7, step, 1), np.inf)
+                tied = ratio <= ratio.min() * (1 + 1e-9) + 1e-9
+                out = int(np.where(tied, step, 0).argmax())  # the safest of those that are used up
+                columns[:, out] = fresh
+                pivot = inverse[out] / step[out]
+                inverse -= np.outer(step, pivot)
+                inverse[out] = pivot
+                prices = prices - gain * pivot
+                entered = True
+            if entered:
+                break
+        if not entered:
             break
-        amount, step = inverse @ needs_, inverse @ fresh
-        ratio = np.where(step > 1e-9, amount / np.where(step > 1e-9, step, 1), np.inf)
-        out = int(np.argmin(ratio))
-        columns[:, out] = fresh
-        pivot = inverse[out] / step[out]
-        inverse -= np.outer(step, pivot)
-        inverse[out] = pivot
-    amount = inverse @ needs_
-    return [
-        (int(x + 1e-6), columns[:, i].astype(int)) for i, x in enumerate(amount) if int(x + 1e-6) > 0
-    ]
+    amount = np.linalg.solve(columns, needs_)
+    return [(float(x), columns[:, i].astype(int)) for i, x in enumerate(amount) if x > 1e-6]
 
 
 class _Bins:
@@ -202,19 +261,39 @@ class _Bins:
         return [run for runs in self.by_free for run in runs if run[1]]
 
 
+def _rounded(found: list[tuple[float, np.ndarray]], needs: list[int]) -> list[tuple[int, np.ndarray]]:
+    """Whole numbers of configurations: rounded down, then one more of each that can still be filled.
+
+    Those with the greatest fractions come first.
+    """
+    left, out = np.array(needs), []
+    for x, content in found:
+        held = content > 0
+        often = min(int(x + 1e-6), int((left[held] // content[held]).min()))  # x is a float
+        left -= often * content
+        out.append((often, content))
+    fractions = [x - often for (x, _), (often, _) in zip(found, out)]
+    for i in sorted(range(len(out)), key=lambda i: -fractions[i]):
+        often, content = out[i]
+        if fractions[i] > 1e-6 and (content <= left).all():
+            left -= content
+            out[i] = (often + 1, content)
+    return [(often, content) for often, content in out if often]
+
+
 def _substituted(large: dict[int, int], capacity: int, groups: int) -> list[tuple[int, tuple]]:
     """Configurations of the rounded lengths with actual documents in their places."""
     grouped = _groups(large, groups)
     queues = [list(runs) for _, runs in grouped]
     needs = [sum(c for _, c in runs) for _, runs in grouped]
     out = []
-    for often, content in configurations([s for s, _ in grouped], needs, capacity):
+    for often, content in _rounded(configurations([s for s, _ in grouped], needs, capacity), needs):
         # Each place takes a stretch of its group's documents; where the length changes in any
         # of them, another kind of sequence begins.
         stretches = []
         for g in [g for g, copies in enumerate(content) for _ in range(copies)]:
             taken, left = [], often
-            while left and queues[g]:
+            while left:
                 length, have = queues[g][0]
                 n = min(left, have)
                 taken.append((length, n))
@@ -222,45 +301,58 @@ def _substituted(large: dict[int, int], capacity: int, groups: int) -> list[tupl
                 queues[g][0] = (length, have - n)
                 if have == n:
                     queues[g].pop(0)
-            stretches.append(taken + [(0, left)] * bool(left))
-        while stretches and stretches[0]:
+            stretches.append(taken)
+        while stretches[0]:
             n = min(s[0][1] for s in stretches)
             lengths: dict[int, int] = {}
             for s in stretches:
                 length, have = s[0]
-                if length:
-                    lengths[length] = lengths.get(length, 0) + 1
+                lengths[length] = lengths.get(length, 0) + 1
                 s[0] = (length, have - n)
                 if have == n:
                     s.pop(0)
-            if lengths:
-                out.append((n, tuple(lengths.items())))
+            out.append((n, tuple(lengths.items())))
     return out
 
 
+def configured(
+    counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS
+) -> tuple[list[tuple[int, tuple]], dict[int, int]]:
+    """Sequences of large documents by configurations, and the histogram of what they do not hold.
+
+    Configurations whose actual documents leave more than LOOSE tokens free are given up. Their
+    documents and those that rounding the linear program left over are grouped anew, more finely as
+    they are fewer, and planned again, as long as that places a fair share of them.
+    """
+    runs, rest = [], {n: c for n, c in counts.items() if c}
+    while True:
+        large = {n: c for n, c in rest.items() if n * SMALL > capacity}
+        placed = 0
+        for n, content in _substituted(large, capacity, groups) if large else []:
+            if capacity - sum(length * copies for length, copies in content) > LOOSE:
+                continue
+            runs.append((n, content))
+            for length, copies in content:
+                placed += n * copies
+                rest[length] -= n * copies
+                if not rest[length]:
+                    del rest[length]
+        if placed <= FAIR * sum(large.values()):
+            return runs, rest
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, tuple]]:
     """(sequences, [(length, copies), ...]) for the histogram of lengths of at most `capacity`.
 
-    Configurations whose actual documents leave too much space are dissolved, and their documents
-    best-fit with the small ones; how much is too much is the bound that gives fewest sequences.
+    The large documents that no configuration holds go best-fit, and so do the small ones behind.
     """
-    large = {n: c for n, c in counts.items() if n * SMALL > capacity and c}
-    filled = _substituted(large, capacity, groups) if large else []
-    best: list[tuple[int, tuple]] | None = None
-    for loose in LOOSE:
-        bins, rest = _Bins(capacity), dict(counts)
-        for n, content in filled:
-            if capacity - sum(length * copies for length, copies in content) <= loose:
-                bins.add(n, content)
-                for length, copies in content:
-                    rest[length] -= n * copies
-        for length in sorted(rest, reverse=True):
-            if rest[length]:
-                bins.best_fit(length, rest[length])
-        runs = bins.runs()
-        if best is None or sum(r[0] for r in runs) < sum(r[0] for r in best):
-            best = runs
-    return best or []
+    runs, rest = configured(counts, capacity, groups)
+    bins = _Bins(capacity)
+    for n, content in runs:
+        bins.add(n, content)
+    for length in sorted(rest, reverse=True):
+        bins.best_fit(length, rest[length])
+    return bins.runs()
 
 
 def places(runs: list[tuple[int, tuple]]) -> list[tuple[int, int, int, int, int, int]]:
