@@ -11,6 +11,7 @@ from fleetframe.functions import status as S
 
 JOB = ["cluster_id", "proc_id"]
 BUCKETS = 64  # of a table that is kept by job; a few for each executor core suit best
+ROWS_OF_A_BUCKET = 250_000  # of the jobs; one task joins a bucket, and held under 1 KB for each row of it
 
 
 def expected_jobs(entries: DataFrame) -> DataFrame:
@@ -84,12 +85,18 @@ def job_status(expected: DataFrame, queue: DataFrame, markers: DataFrame) -> Dat
     ).drop("has_log", "has_out", "has_err")
 
 
+def buckets_for(jobs: DataFrame, least: int = BUCKETS) -> int:
+    """Buckets for tables about these jobs, so that a bucket, which one task joins, stays as large
+    however many jobs there are. Rows that stand for a job more than once may be counted each."""
+    return max(least, -(-jobs.count() // ROWS_OF_A_BUCKET))
+
+
 def keep_by_job(rows: DataFrame, table: str, path: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Write expected jobs, a queue or markers as a table in buckets by job, and read it back.
 
     Tables with the same number of buckets join on the job, and are grouped by it, where they lie:
     `job_status` over three of them moves nothing. A bucket is one sorted file, and a read of one
-    job opens one bucket.
+    job opens one bucket. One task takes a whole bucket of each, so `buckets_for` tells their number.
     """
     writer = rows.repartition(buckets, *JOB).write.mode("overwrite").bucketBy(buckets, *JOB).sortBy(*JOB)
     if path:
