@@ -168,7 +168,7 @@ def glob_regex_column(pattern: Column) -> Column:
 
 # What stands before and behind a text whose fragments are looked up, and in place of wildcards.
 _START, _END, _GAP = "\x02", "\x03", "\x00"
-FRAGMENT = 3  # the longest fragment
+FRAGMENTS = (1, 2, 3, 4, 6, 8)  # lengths of fragments; one of eight tells most texts apart, of three few
 
 
 def _pieces(text: Column, size: int) -> Column:
@@ -178,27 +178,38 @@ def _pieces(text: Column, size: int) -> Column:
     return F.filter(found, lambda p: ~p.isin(_START, _END)) if size == 1 else found
 
 
+def marked_ends(text: Column) -> Column:
+    return F.concat(F.lit(_START), text, F.lit(_END))
+
+
+def fragments_at(marked: Column, at: Column) -> Column:
+    """The fragments that start at a place of a text with marked ends, of all lengths in FRAGMENTS;
+    null for those that it is too short for."""
+    fits = [at + F.lit(n - 1) <= F.length(marked) for n in FRAGMENTS]
+    return F.array(*[F.when(fit, F.substring(marked, at, F.lit(n))) for fit, n in zip(fits, FRAGMENTS)])
+
+
 def text_fragments(text: Column) -> Column:
-    """The distinct fragments of one to FRAGMENT characters of a text, its ends marked."""
-    marked = F.concat(F.lit(_START), text, F.lit(_END))
-    return F.array_distinct(F.concat(*[_pieces(marked, n) for n in range(1, FRAGMENT + 1)]))
+    """The distinct fragments of a text, its ends marked."""
+    marked = marked_ends(text)
+    places = F.sequence(F.lit(1), F.length(marked))
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(places, lambda at: fragments_at(marked, at)))))
 
 
 def glob_fragments(pattern: Column) -> Column:
-    """The longest fragments, of FRAGMENT characters at most, that every match of a shell pattern
-    holds; empty for a pattern of wildcards and sets only."""
+    """The fragments that every match of a shell pattern holds, the longest of each stretch between
+    its wildcards and sets; empty for a pattern of wildcards and sets only."""
     tokens = F.regexp_extract_all(pattern, F.lit(_GLOB_TOKEN), F.lit(0))
     open_ = F.transform(tokens, lambda t: F.when((F.length(t) > 1) | t.isin("*", "?"), F.lit(_GAP)).otherwise(t))
     runs = F.split(F.concat(F.lit(_START), F.array_join(open_, ""), F.lit(_END)), _GAP)
 
-    def of_runs(size: int) -> Column:
-        return F.flatten(F.transform(runs, lambda run: _pieces(run, size)))
+    def longest(run: Column) -> Column:
+        found = _pieces(run, FRAGMENTS[0])
+        for n in FRAGMENTS[1:]:
+            found = F.when(F.length(run) >= n, _pieces(run, n)).otherwise(found)
+        return found
 
-    by_size = [of_runs(n) for n in range(FRAGMENT, 0, -1)]
-    longest = by_size[-1]
-    for found in reversed(by_size[:-1]):
-        longest = F.when(F.size(found) > 0, found).otherwise(longest)
-    return F.array_distinct(longest)
+    return F.array_distinct(F.flatten(F.transform(runs, longest)))
 
 
 def log_fields(line: Column) -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from fleetframe.functions.servers import AD_COLUMNS, server_weight
 from fleetframe.functions.text import (
-    glob_fragments, glob_regex_column, matches_any, requirement_name, text_fragments,
+    fragments_at, glob_fragments, glob_regex_column, marked_ends, matches_any, requirement_name,
 )
 
 BASE_VERSION = r"[A-Za-z]+_\d+_\d+_\d+"
+CELLS = 1 << 20  # hash values that are broadcast at most
 
 
 def prefix_index(catalogue: DataFrame, token_boundary: bool = False) -> DataFrame:
@@ -131,23 +132,26 @@ def matching_any(
     """Distinct names that match at least one of a table of shell patterns.
 
     Every match of a pattern holds its literal fragments, the ends of the name included. Each
-    pattern is looked up by the one of its fragments that the fewest names hold, an equality join
-    with the fragments of the names, and confirmed on the names that share it. Patterns of wildcards
-    and sets only have no fragment; they are tested in scans of the names, `at_once` of them in one.
-    Nulls match nothing.
+    pattern is looked up by the one of its fragments that is rarest in the names, an equality join
+    with the fragments of the names, and confirmed on the names that share it. Fragments are
+    compared by their hashes, and only those of the names move that fall into a hash cell of a
+    pattern's. Patterns of wildcards and sets only have no fragment; they are tested in scans of
+    the names, `at_once` of them in one. Nulls match nothing.
     """
     every = names.filter(F.col(name).isNotNull()).select(F.col(name).alias("_name")).distinct()
     asked = patterns.filter(F.col(pattern).isNotNull()).select(F.col(pattern).alias("_pattern")).distinct()
     asked = asked.withColumn("_fragments", glob_fragments(F.col("_pattern")))
-    wanted = asked.select("_pattern", F.explode("_fragments").alias("_fragment"))
-    held = every.select("_name", F.explode(text_fragments(F.col("_name"))).alias("_fragment"))
-    met = held.join(wanted.select("_fragment").distinct(), "_fragment", "left_semi")
-    many = met.groupBy("_fragment").agg(F.count(F.lit(1)).alias("_many"))
-    # A fragment that no name holds is the rarest: nothing can match its pattern.
+    wanted = _hashed(asked.select("_pattern", F.explode("_fragments").alias("_fragment")))
+    held = _hashed(_text_fragments(every))
+    many = _in_cells_of(wanted, held).groupBy("_fragment").agg(F.count(F.lit(1)).alias("_many"))
     rarest = wanted.join(many, "_fragment", "left").groupBy("_pattern").agg(
-        F.min_by("_fragment", F.struct(F.coalesce("_many", F.lit(0)), "_fragment")).alias("_fragment")
+        F.min(F.struct(F.coalesce("_many", F.lit(0)).alias("_many"), "_fragment")).alias("_rarest")
+    )
+    # A fragment that no name holds is the rarest: nothing can match its pattern.
+    rarest = rarest.filter(F.col("_rarest._many") > 0).select(
+        F.col("_rarest._fragment").alias("_fragment"), glob_regex_column(F.col("_pattern")).alias("_regex")
     )
-    near = held.join(rarest, "_fragment").filter(F.rlike(F.col("_name"), glob_regex_column(F.col("_pattern"))))
+    near = _in_cells_of(rarest, held).join(rarest, "_fragment").filter(F.rlike("_name", "_regex"))
     found = near.select("_name")
     loose = [r[0] for r in asked.filter(F.size("_fragments") == 0).select("_pattern").toLocalIterator()]
     for at in range(0, len(loose), at_once):
@@ -155,6 +159,27 @@ def matching_any(
     return found.distinct().withColumnRenamed("_name", name)
 
 
+def _text_fragments(every: DataFrame) -> DataFrame:
+    """Names with their fragments, one row for each place of a fragment: `text_fragments` unfolded
+    in rows, as an array of them all takes five times as long."""
+    marked = every.select("_name", marked_ends(F.col("_name")).alias("_marked"))
+    places = marked.select("*", F.explode(F.sequence(F.lit(1), F.length("_marked"))).alias("_at"))
+    found = fragments_at(F.col("_marked"), F.col("_at"))
+    return places.select("_name", F.explode(found).alias("_fragment")).filter(F.col("_fragment").isNotNull())
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_fragment", F.xxhash64("_fragment"))
+
+
+def _in_cells_of(wanted: DataFrame, held: DataFrame) -> DataFrame:
+    """Held fragments but those that cannot be wanted; the cells are few enough to broadcast,
+    however many fragments are wanted."""
+    cell = F.pmod("_fragment", F.lit(CELLS))
+    cells = wanted.select(cell.alias("_cell")).distinct()
+    return held.join(F.broadcast(cells), cell == F.col("_cell"), "left_semi")
+
+
 def select_sites(
     sites: DataFrame, deny: list[str], allow: list[str], site: str = "site"
 ) -> DataFrame:
